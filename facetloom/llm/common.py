@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetloom.shipping import ship
+
 #: Rows of an Arrow batch: bounds a Python worker's memory where single texts are long.
 BATCH_ROWS = 512
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for this session, as texts may have a hundred thousand characters."""
+    """Before Python workers run: bounds the rows of an Arrow batch for this session, as texts may have a hundred thousand characters."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
