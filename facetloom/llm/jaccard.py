@@ -263,7 +263,7 @@ def _large(placed: DataFrame, size: DataFrame, percent: int, task: int) -> DataF
     # Outer blocks among themselves, and outer ones with those of the ball; the ball is connected.
     pairs = a.join(b, fits & ((F.col("ball2") & ~F.col("all_far1")) | (~F.col("ball2") & (F.col("block1") <= F.col("block2")))))
     pairs = pairs.select(F.col("region1").alias("r__"), F.struct("block1", "ball2", "block2").alias("pair"), "block1", "ball2", "block2")
-    side = F.array(F.struct(F.lit(False).alias("ball"), F.col("block1").alias("block")), F.struct("ball2", "block2"))
+    side = F.array(F.struct(F.lit(False).alias("ball"), F.col("block1").alias("block")), F.struct(F.col("ball2").alias("ball"), F.col("block2").alias("block")))
     sides = pairs.select("r__", "pair", F.explode(F.array_distinct(side)).alias("x")).select("r__", "pair", F.col("x.ball").alias("b__"), F.col("x.block").alias("k__"))
     sent = numbered.join(sides, (F.col("region") == F.col("r__")) & (F.col("ball") == F.col("b__")) & (F.col("block") == F.col("k__")))
     sent = sent.select("region", "pair", "sid", "s", "central", F.when(F.col("ball"), F.lit(0)).otherwise(F.lit(-1)).alias("known"))
