@@ -77,28 +77,42 @@ def template_rows(spark: SparkSession, templates: tuple[Template, ...]) -> DataF
     return df.select("tid", "label", "base", "share", "grams", F.posexplode(_grams(F.col("ws"))).alias("tpos", "g")).select("tid", "label", "base", "share", "grams", "tpos", "g.h", "g.c")
 
 
-def spans(docs: DataFrame, templates: tuple[Template, ...], near: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Verified spans: doc_id, text_hash, label, base, start (word, from 0), covered (share of the template).
+def _votes(docs: DataFrame, templates: tuple[Template, ...], broadcast_rows: int) -> DataFrame:
+    """By document (doc_id, text_hash, n_words), template and diagonal: the mask of its votes, where they start and how many there are.
 
-    near: diagonals this close merge. broadcast_rows: up to so many template positions are sent to all executors; beyond, the join shuffles.
+    Every document begins with one gram that no words make and that meets a template of its own (tid -1), so that
+    documents without a hit stay and the text is read and cut into words once; its votes are the rows that are alike.
     """
-    rows = template_rows(docs.sparkSession, templates)
+    spark = docs.sparkSession
+    rows = template_rows(spark, templates).unionByName(spark.createDataFrame([(-1, None, False, 2.0, 1, 0, 0, None)], "tid int, label string, base boolean, share double, grams int, tpos int, h long, c int"))
     n = sum(len(t.words.split()) - (K - 1) for t in templates)
     if n <= broadcast_rows:
         rows = F.broadcast(rows)
-    grams = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words("text").alias("ws"))
-    grams = grams.select("doc_id", "text_hash", F.posexplode(_grams(F.col("ws"))).alias("pos", "g")).select("doc_id", "text_hash", "pos", "g.h", "g.c")
-    hits = grams.join(rows, ["h", "c"])
-    key = ["doc_id", "text_hash", "tid", "label", "base", "share", "grams"]
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("start"))
-    exact = votes.where(F.col("base") & (F.bit_count("mask") == F.col("grams"))).select("doc_id", "text_hash", "label", "base", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("covered"))
-    # A run of diagonals of one template and document, each near the one before it, is one span.
+    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words("text").alias("ws"))
+    first = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(None).cast("int").alias("c")))
+    grams = own.select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.posexplode(F.concat(first, _grams(F.col("ws")))).alias("pos", "g"))
+    grams = grams.select("doc_id", "text_hash", "n_words", (F.col("pos") - 1).alias("pos"), F.col("g.h").alias("gh"), F.col("g.c").alias("gc"))
+    hits = grams.join(rows, (F.col("gh") == F.col("h")) & F.col("gc").eqNullSafe(F.col("c")))
+    return hits.groupBy(*KEY, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("start"), F.count("*").alias("votes"))
+
+
+KEY = ["doc_id", "text_hash", "n_words", "tid", "label", "base", "share", "grams"]
+DOC = ["doc_id", "text_hash", "n_words"]
+
+
+def spans(docs: DataFrame, templates: tuple[Template, ...], near: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Verified spans: doc_id, text_hash, n_words, label, base, start (word, from 0), covered (share of the template), and a row of null label for each document, with `rows` of it.
+
+    near: diagonals this close merge. broadcast_rows: up to so many template positions are sent to all executors; beyond, the join shuffles.
+    """
+    votes = _votes(docs, templates, broadcast_rows)
+    # A run of diagonals of one template and document, each near the one before it, is one span; a base phrase has one diagonal.
     w = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diagonal")
-    gap = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > near).cast("int"), F.lit(1))
-    merged = votes.where(~F.col("base")).withColumn("gap", gap).withColumn("run", F.sum("gap").over(w))
-    merged = merged.groupBy(*key, "run").agg(F.bit_or("mask").alias("mask"), F.min("start").cast("long").alias("start"))
-    merged = merged.withColumn("covered", F.bit_count("mask") / F.col("grams")).where(F.col("covered") >= F.col("share"))
-    return exact.unionByName(merged.select("doc_id", "text_hash", "label", "base", "start", "covered"))
+    gap = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > near, F.lit(True))
+    merged = votes.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(w))
+    merged = merged.groupBy(*KEY, "run").agg(F.bit_or("mask").alias("mask"), F.min(F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("start"))).cast("long").alias("start"), F.min("votes").alias("rows"))
+    merged = merged.withColumn("covered", F.bit_count("mask") / F.col("grams"))
+    return merged.where((F.col("tid") < 0) | (F.col("covered") >= F.when(F.col("base"), 1.0).otherwise(F.col("share")))).select(*DOC, "tid", "label", "base", "start", "covered", "rows")
 
 
 def _joined(labels: Column) -> Column:
@@ -107,16 +121,13 @@ def _joined(labels: Column) -> Column:
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN) -> DataFrame:
     """One row for each of docs (doc_id, text): places of base phrases, labels and score."""
-    found = spans(docs, templates).groupBy(F.col("doc_id").alias("d__"), F.col("text_hash").alias("t__")).agg(
-        F.count(F.when(F.col("base"), 1)).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
-        _joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), _joined(F.col("label")).alias("labels"), F.max("covered").alias("score"),
-    )
-    counted = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(words("text")).cast("long").alias("n_words"))
-    both = counted.join(found, F.col("doc_id").eqNullSafe(F.col("d__")) & (F.col("text_hash") == F.col("t__")), "left")
-    return both.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    base = F.col("base")
+    by_text = spans(docs, templates).groupBy(*DOC).agg(
+        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
+        _joined(F.when(base, F.col("label"))).alias("base_labels"), _joined(F.col("label")).alias("labels"), F.max(F.when(F.col("tid") >= 0, F.col("covered"))).alias("score"), F.max(F.when(F.col("tid") < 0, F.col("rows"))).alias("rows"),
     )
+    # Rows that are alike were counted as one; they come out as often as they came in.
+    return by_text.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.coalesce("score", F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy")).drop("copy")
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
