@@ -300,8 +300,18 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with its columns: the one with the smallest id; documents without shingles, or of a null id, stay."""
-    found = groups(docs, 5, 80)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    name = gone.columns[0]
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    """One document of each group, with its columns: the one with the smallest id.
+
+    Documents without shingles stay, and those of a null id, which nothing can name. Of rows that repeat an id with one text, one stays.
+    """
+    found = cut(groups(docs, 5, 80), "groups")
+    name = free_name(docs, "gone")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    again = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "again")
+    if not again.limit(1).count():
+        return kept
+    # Only rows of repeated ids are compared, so that texts do not travel for the others.
+    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("doc_id"))
+    once = kept.join(again, kept["doc_id"] == F.col(name), "left_semi").withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
+    return kept.join(again, kept["doc_id"] == F.col(name), "left_anti").unionByName(once)
