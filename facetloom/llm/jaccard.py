@@ -65,7 +65,7 @@ def sets(docs: DataFrame, k: int, part: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [shingles(t, k) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(s) for s in own], "sid": [_sid(s) for s in own], "some": [s[: np.searchsorted(s, below)].view(np.int64) for s in own]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(s) for s in own], "sid": [_sid(s) for s in own], "some": pd.Series([s[: np.searchsorted(s, below)].view(np.int64) for s in own], dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sid long, some array<long>")
 
@@ -104,7 +104,7 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [s for t in b["text"] if len(s := shingles(t, k))]
-            yield pd.DataFrame({"sid": [_sid(s) for s in own], "n": [len(s) for s in own], "s": [s.view(np.int64) for s in own]})
+            yield pd.DataFrame({"sid": [_sid(s) for s in own], "n": [len(s) for s in own], "s": pd.Series([s.view(np.int64) for s in own], dtype=object)})
 
     got = texts.mapInPandas(run, "sid long, n long, s array<long>")
     # A document repeated under one id, or another text of that id: each node once, and only chosen ones.
