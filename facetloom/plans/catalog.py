@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from facetloom.plans import analytics, collections
+
 FLAGSHIP = "zset_topk"
+_ALL = collections.QUERIES | analytics.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
