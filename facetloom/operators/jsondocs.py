@@ -107,7 +107,8 @@ def _changed(text: str | None, steps: list, change: Change, create: bool) -> str
         if box is None:
             root = new
         elif new is GONE:
-            del box[at]
+            if old is not GONE:
+                del box[at]
         else:
             box[at] = new
     return None if root is GONE else json.dumps(root, separators=(",", ":"), ensure_ascii=False)
