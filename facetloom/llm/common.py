@@ -57,6 +57,12 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def hashed_share(key: str, rows: int, of: int) -> Column:
+    """True for about twice as many of `of` rows as asked for, by a hash of the key, or for all: what is then ordered and cut to `rows` is small on every partition."""
+    share = 1.0 if of <= 2 * rows else 2 * rows / of
+    return F.pmod(F.xxhash64(F.lit("share"), F.col(key)), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, with underscores appended until no column of df has it, letter case aside."""
     taken = {c.lower() for c in df.columns}

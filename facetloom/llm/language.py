@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, held_out, small_batches, table
+from facetloom.llm.common import free_name, hashed_share, held_out, small_batches, table
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
@@ -168,7 +168,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str =
 
 def labelled(documents: DataFrame, rows: int = 6000, max_chars: int = 20_000) -> list[tuple[str, str]]:
     """A bounded sample of labelled texts, the first by a hash of the id; rows of more than max_chars characters are not learned from (they are scored)."""
-    df = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    df = documents.where(hashed_share("doc_id", rows, documents.count()) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     got = df.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang").toPandas()
     return list(zip(got["text"], got["lang"], strict=True))
 
