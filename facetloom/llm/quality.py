@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, held_out, small_batches, table
+from facetloom.llm.common import free_name, hashed_share, held_out, small_batches, table
 
 THRESHOLD = 0.3
 
@@ -124,7 +124,8 @@ def labelled(documents: DataFrame, labels: DataFrame, rows_per_class: int = 4000
     """A bounded sample of labelled rows: of either class rows_per_class labels, first by a hash of the id; rows of more than max_chars characters are not learned from (they are scored)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [labels.where(F.col("quality") == k).orderBy(*order).limit(rows_per_class) for k in (0, 1)]
+    sides = [labels.where(F.col("quality") == k) for k in (0, 1)]
+    picked = [side.where(hashed_share("doc_id", rows_per_class, side.count())).orderBy(*order).limit(rows_per_class) for side in sides]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_per_class ids and flags
     texts = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(chosen, "doc_id")
     got = texts.orderBy(*order, F.xxhash64("text"), "quality").limit(2 * rows_per_class).select("text", "quality").toPandas()
