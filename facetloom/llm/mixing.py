@@ -87,6 +87,7 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
             F.min(F.when(F.col("upto") > F.col("left"), F.col("bucket"))).alias("bucket"),
             F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("before"),
             F.max("bucket").alias("last"),
+            F.lit(True).alias("hit"),
             F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "size"))).alias("at"),
         )
         passed = F.coalesce(F.col("bucket"), F.col("last") + 1)
@@ -94,7 +95,7 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
             state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source", "source_size", "target", "whole",
                 F.coalesce(F.col("left") - F.coalesce("before", F.lit(0)), F.col("left")).alias("left"),
-                F.when(F.col("s").isNull(), F.col("low")).otherwise(F.shiftleft(passed, shift)).alias("low"),
+                F.when(F.col("hit").isNull(), F.col("low")).otherwise(F.shiftleft(passed, shift)).alias("low"),
                 F.col("at.size").alias("at_size"),
             ),
             "mix",
