@@ -102,3 +102,16 @@ def radius_by_member(geo: DataFrame, members: DataFrame, reach: float, unit: str
 def dist(geo: DataFrame, a: str, b: str, unit: str = "m") -> DataFrame:
     two = geo.where(F.col("member").isin(a, b)).groupBy("key").agg(*(F.max(F.when(F.col("member") == m, F.col(c))).alias(f"{c}{i}") for i, m in enumerate((a, b)) for c in ("lon", "lat")))
     return two.select("key", F.round(distance(F.col("lon0"), F.col("lat0"), F.col("lon1"), F.col("lat1"), unit), 4).alias("dist"))
+
+
+def add(geo: DataFrame, delta: DataFrame, rule: str = "always") -> DataFrame:
+    """Upserts places; nx adds only, xx moves only. Positions outside the grid raise an error."""
+    old = geo.select("key", "member")
+    new = delta if rule == "always" else delta.join(old, ["key", "member"], "left_anti" if rule == "nx" else "left_semi")
+    bad = (F.abs("lon") > LON) | (F.abs("lat") > LAT)
+    return keyed.upsert(geo, new.withColumn("lon", F.when(bad, F.raise_error(F.lit("no such place")).cast("double")).otherwise(F.col("lon"))), ["key", "member"])
+
+
+def store(found: DataFrame, target: str, with_dist: bool = False) -> DataFrame:
+    """Found places as a sorted set: by cell, or by distance."""
+    return found.select(F.lit(target).alias("key"), "member", (F.col("dist") if with_dist else encode(F.col("lon"), F.col("lat")).cast("double")).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetloom.functions.text import float_text, glob
 from facetloom.operators import keyed
-from facetloom.operators.keyspace import expire
+from facetloom.operators.keyspace import expire, ttl
 
 KEYS = ["key", "field"]
 
@@ -89,3 +89,17 @@ def hexpire(hsh: DataFrame, fields: list[str], at_ms, rule: str = "always") -> D
     """Expiry of single fields, under the rules that whole keys have."""
     mine = F.col("field").isin(*fields)
     return expire(hsh.where(mine), at_ms, rule).unionByName(hsh.where(~mine))
+
+
+def httl(hsh: DataFrame, now_ms: int, unit_ms: int = 1000) -> DataFrame:
+    """key, field, ttl: -1 without expiry."""
+    return hsh.select(*KEYS, ttl(F.col("expire_at"), now_ms, unit_ms).alias("ttl"))
+
+
+def hpersist(hsh: DataFrame, fields: list[str]) -> DataFrame:
+    return hsh.withColumn("expire_at", F.when(F.col("field").isin(*fields), F.lit(None)).otherwise(F.col("expire_at")))
+
+
+def hgetex(hsh: DataFrame, fields: list[str], at_ms) -> tuple[DataFrame, DataFrame]:
+    """The fields, and the hashes with their expiry set."""
+    return hsh.where(F.col("field").isin(*fields)), hexpire(hsh, fields, at_ms)

@@ -135,3 +135,32 @@ def _claimed(df: DataFrame, columns: list[str], consumer: str, now_ms: int) -> D
     take = F.col("take__")
     new = df.withColumn("consumer", F.when(take, consumer).otherwise(F.col("consumer"))).withColumn("delivered_ms", F.when(take, F.lit(now_ms).cast("long")).otherwise(F.col("delivered_ms")))
     return new.withColumn("deliveries", F.col("deliveries") + take.cast("int")).select(*columns)
+
+
+def group_create(groups: DataFrame, xs: DataFrame, grp: str, at: str = "$") -> DataFrame:
+    """A group for each log, from an id on: '$' is the log's last, '0' its beginning."""
+    if at == "$":
+        new = xs.groupBy("key").agg(F.max(F.struct("ms", "seq")).alias("l__")).select("key", F.lit(grp).alias("grp"), "l__.ms", "l__.seq")
+    else:
+        ms, seq = parse_id(at)
+        new = xs.select("key").distinct().select("key", F.lit(grp).alias("grp"), F.lit(ms).cast("long").alias("ms"), F.lit(seq).cast("long").alias("seq"))
+    return keyed.insert_new(groups, new, ["key", "grp"])
+
+
+def group_setid(groups: DataFrame, grp: str, at: str) -> DataFrame:
+    ms, seq = parse_id(at)
+    mine = F.col("grp") == grp
+    return groups.withColumn("ms", F.when(mine, F.lit(ms).cast("long")).otherwise(F.col("ms"))).withColumn("seq", F.when(mine, F.lit(seq).cast("long")).otherwise(F.col("seq")))
+
+
+def group_destroy(groups: DataFrame, pending: DataFrame, grp: str) -> tuple[DataFrame, DataFrame]:
+    return groups.where(F.col("grp") != grp), pending.where(F.col("grp") != grp)
+
+
+def consumer_delete(pending: DataFrame, grp: str, consumer: str) -> DataFrame:
+    return pending.where(~((F.col("grp") == grp) & (F.col("consumer") == consumer)))
+
+
+def consumers(pending: DataFrame, now_ms: int) -> DataFrame:
+    """key, grp, consumer, n, idle (since its last delivery)."""
+    return pending.groupBy("key", "grp", "consumer").agg(F.count("*").alias("n"), (now_ms - F.max("delivered_ms")).alias("idle"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The stop words, and BM25's parameters.
@@ -47,6 +47,19 @@ class Index:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), self.weights)
 
+    @staticmethod
+    def load(spark: SparkSession, path: str, weights: dict[str, float]) -> Index:
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), weights)
+
+    def add(self, docs: DataFrame, id_: str) -> Index:
+        """With more documents; those of the same id are replaced, and lengths count living documents only."""
+        new = Index.create(docs, id_, self.weights)
+        ids = new.docs.select("id")
+        return Index(self.postings.join(ids, "id", "left_anti").unionByName(new.postings), self.docs.join(ids, "id", "left_anti").unionByName(new.docs), self.weights)
+
+    def remove(self, ids: DataFrame) -> Index:
+        return Index(self.postings.join(ids, "id", "left_anti"), self.docs.join(ids, "id", "left_anti"), self.weights)
+
     def info(self) -> DataFrame:
         return self.docs.agg(F.count("*").alias("docs"), F.sum("len").alias("terms"), F.avg("len").alias("avg_len"))
 

@@ -82,3 +82,18 @@ def append(value: Column, suffix: Column) -> Column:
 def strlen(value: Column) -> Column:
     """Bytes, not characters."""
     return F.octet_length(value)
+
+
+def msetex(kv: DataFrame, delta: DataFrame, when: str = "always", place: str = "place") -> DataFrame:
+    """All of delta or nothing: nx needs all keys missing, xx all there. Expiry is delta's."""
+    if when == "nx":
+        return msetnx(kv, delta, place)
+    if when == "xx":
+        missing = F.broadcast(delta.select("key").distinct().join(kv.select("key"), "key", "left_anti").agg((F.count("*") == 0).alias("all__")))  # one row decides
+        delta = delta.crossJoin(missing).where("all__").drop("all__")
+    return keyed.upsert(kv, delta, ["key"], place)
+
+
+def getex(kv: DataFrame, keys: list[str], expire_at: Column) -> DataFrame:
+    """kv with another expiry (null: none) for some keys; their values are read from it."""
+    return kv.withColumn("expire_at", F.when(F.col("key").isin(*keys), expire_at.cast("long")).otherwise(F.col("expire_at")))

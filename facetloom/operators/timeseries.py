@@ -122,3 +122,10 @@ def downsample(ts: DataFrame, rules: list[tuple[str, str, str, int]], align_ms:
         one = (_time_weighted(mine, ["series"]) if how == "twa" else mine.groupBy("series", "bucket").agg(AGGREGATORS[how]().alias("value"))).select(F.lit(target).alias("series"), F.col("bucket").alias("ts_ms"), "value")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def alter(meta: DataFrame, delta: DataFrame) -> DataFrame:
+    """Rules of series (series, retention_ms, policy, labels): delta's replace those of the same series, nulls of it leave the old value."""
+    new = delta.select(*(F.col(c).alias(c if c == "series" else f"{c}__") for c in meta.columns))
+    both = meta.join(new, "series", "full")
+    return both.select("series", *(F.coalesce(f"{c}__", c).alias(c) for c in meta.columns if c != "series"))

@@ -82,3 +82,8 @@ def setattr_(vs: DataFrame, attr: str, value: Column) -> DataFrame:
 
 def getattr_(attr: str) -> Column:
     return F.col("attrs")[attr]
+
+
+def links(vs: DataFrame, asks: DataFrame, k: int = 16, metric: str = "cosine") -> DataFrame:
+    """A graph's edges from each of asks to its k nearest of the same key."""
+    return by_element(vs, asks, k, metric)

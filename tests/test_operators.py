@@ -239,3 +239,38 @@ def test_snapshots_and_commands(spark, tmp_path):
     got = snapshots.replay(snapshots.read_commands(spark, str(tmp_path / "log")))
     assert got["string"].first()["value"] == "2" and [r["elem"] for r in got["list"].orderBy("pos").collect()] == ["x", "y", "z"]
     assert got["zset"].first()["score"] == 1.5 and got["hash"].count() == 1 and math.isclose(got["set"].count(), 1)
+
+
+def test_more_of_the_families(spark):
+    kv = spark.createDataFrame([("a", "1", None), ("b", "2", 7)], "key string, value string, expire_at long")
+    delta = spark.createDataFrame([("a", "x", 5, 0), ("c", "z", 5, 1)], "key string, value string, expire_at long, place int")
+    assert strings.msetex(kv, delta, "nx").count() == 2 and strings.msetex(kv, delta.where("key = 'a'"), "xx").where("value = 'x'").count() == 1 and strings.msetex(kv, delta, "xx").where("value = 'x'").count() == 0
+    assert strings.getex(kv, ["b"], F.lit(None)).where("expire_at is null").count() == 2
+    h = spark.createDataFrame([("k", "a", "1", 5000), ("k", "b", "2", None)], "key string, field string, value string, expire_at long")
+    assert {r["field"]: r["ttl"] for r in hashes.httl(h, 1000).collect()} == {"a": 4, "b": -1}
+    assert hashes.hpersist(h, ["a"]).where("expire_at is null").count() == 2
+    x = spark.createDataFrame([("k", 5, 0), ("k", 7, 1)], "key string, ms long, seq long")
+    none = spark.createDataFrame([], "key string, grp string, ms long, seq long")
+    g = logs.group_create(none, x, "g", "$")
+    assert tuple(g.first()) == ("k", "g", 7, 1) and tuple(logs.group_setid(g, "g", "5").first())[2:] == (5, 0)
+    new, after, pending = logs.xreadgroup(x, logs.group_create(none, x, "g", "0"), F.lit("c"), 100)
+    assert new.count() == 2 and tuple(after.first())[2:] == (7, 1) and logs.consumers(pending, 150).first()["idle"] == 50
+    assert logs.xackdel(x, pending, pending.where("ms = 5"))[0].count() == 1 and logs.history(x, pending, "c").count() == 2
+    p = spark.createDataFrame([("k", "m", 1.0, 2.0)], "key string, member string, lon double, lat double")
+    q = spark.createDataFrame([("k", "m", 3.0, 4.0), ("k", "n", 5.0, 6.0)], p.schema)
+    assert geo.add(p, q, "nx").where("lon = 1").count() == 1 and geo.add(p, q, "xx").count() == 1 and geo.store(geo.radius(p, 1.0, 2.0, 10), "out", True).first()["score"] == 0.0
+    m = spark.createDataFrame([("s", 10, "last")], "series string, retention_ms long, policy string")
+    assert tuple(timeseries.alter(m, spark.createDataFrame([("s", None, "max")], m.schema)).first()) == ("s", 10, "max")
+    d = spark.createDataFrame([("1", "alpha beta"), ("2", "beta gamma")], "id string, body string")
+    i = search.Index.create(d, "id", {"body": 1.0})
+    j = i.add(spark.createDataFrame([("1", "delta only")], d.schema), "id")
+    assert j.search("alpha").count() == 0 and j.search("delta").count() == 1 and j.remove(d.where("id = '2'").select("id")).search("beta").count() == 0
+    assert keyspace.digest(kv).first()[0] == keyspace.digest(kv.orderBy(F.desc("key"))).first()[0]
+
+
+def test_empty_facets(spark):
+    z = spark.createDataFrame([], "key string, member string, score double")
+    s = spark.createDataFrame([], "key string, member string")
+    t = spark.createDataFrame([], "series string, ts_ms long, value double, event_id long")
+    for df in (zsets.zrank(z), zsets.zunion(z, ["a", "b"]), zsets.zrange(z, -2, -1), sets.sinter(s, ["a"]), timeseries.aggregate(t, "twa", 10, 0, 100), timeseries.latest(t), sketches.topk(s, ["key"], "member", 3)):
+        assert df.count() == 0
