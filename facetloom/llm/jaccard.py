@@ -37,9 +37,11 @@ from facetloom.llm.common import cut, dropped, free_name, small_batches, table
 from facetloom.llm.wordhash import rolled, word_hashes
 
 #: Nodes times shingles that one task may compare.
-TASK = 4_000_000_000
+TASK = 200_000_000
 #: Up to so many ids are sent to all executors; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
+BROADCAST_LABELS = 500_000
+SALT = 64
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -82,14 +84,15 @@ def _near(nodes: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
     return nodes.join(a, nodes["sid"] == a["sid__"], "left").where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")).drop("sid__", "alone")
 
 
-def candidates(hashed: DataFrame, percent: int) -> DataFrame:
-    """Step 2 over part of the shingles: sid, n, rep (a document that has the set)."""
-    nodes = hashed.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "n", "some")).alias("x")).select("sid", F.col("x.n").alias("n"), F.col("x.doc_id").alias("rep"), F.col("x.some").alias("some"))
-    nodes = cut(nodes, "nodes")
-    _, alone = _alone(nodes.select("sid", F.explode("some").alias("h")))
-    out = cut(_near(nodes.select("sid", "n", "rep"), alone, percent), "candidates")
-    dropped(nodes)
-    return out
+def candidates(hashed: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Step 2 over part of the shingles: sid, n, rep (a document that has the set). hashed: sid, some; slim: doc_id, n, sid.
+
+    Documents with equal sets need not be brought together for it: a shingle is one node's alone if the smallest and the largest sid that have it are the same.
+    """
+    cells = hashed.select("sid", F.explode("some").alias("h")).groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("high"))
+    alone = cells.where("sid = high").groupBy("sid").agg(F.count("*").alias("alone"))
+    nodes = slim.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"))
+    return cut(_near(nodes, alone, percent), "candidates")
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -126,15 +129,22 @@ def cells(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """v, root: the smallest node that edges (a, b) lead to, by minimum labels and pointer jumping; each round is written, none reads the lineage before."""
+    """v, root: the smallest node that edges (a, b) lead to, by minimum labels and pointer jumping; each round is written, none reads the lineage before.
+
+    Labels of up to BROADCAST_LABELS nodes are sent to all executors in each round; beyond, they are joined by a shuffle.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    few = labels.count() <= BROADCAST_LABELS
     for _ in range(most):
-        seen = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("low"))
-        next_ = labels.join(seen, F.col("v") == F.col("a")).select("v", "root", F.least("root", "low").alias("new"))
+        known = labels.select(F.col("v").alias("b__"), F.col("root").alias("low"))
         up = labels.select(F.col("v").alias("v2"), F.col("root").alias("root2"))
-        next_ = next_.join(up, F.col("new") == F.col("v2")).select("v", F.col("root").alias("old"), F.least("new", "root2").alias("root"))
-        next_ = cut(next_, "labels")
+        if few:
+            known, up = F.broadcast(known), F.broadcast(up)
+        # A node's own label counts among its neighbours', so that one aggregate finds the new one.
+        near = both.join(known, F.col("b") == F.col("b__")).select(F.col("a").alias("v"), "low", F.lit(None).cast("long").alias("old"))
+        seen = near.unionByName(labels.select("v", F.col("root").alias("low"), F.col("root").alias("old"))).groupBy("v").agg(F.min("low").alias("new"), F.max("old").alias("old"))
+        next_ = cut(seen.join(up, F.col("new") == F.col("v2")).select("v", "old", F.least("new", "root2").alias("root")), "labels")
         changed = next_.where("old <> root").limit(1).count()
         dropped(labels)
         labels = next_.select("v", "root")
@@ -224,27 +234,32 @@ def _joined(percent: int):
 EDGE = "a long, b long"
 
 
-def links(nodes: DataFrame, regions: DataFrame, central: DataFrame, percent: int, task: int = TASK) -> DataFrame:
-    """Steps 4 and 5: edges (a, b) between connected nodes; nodes: sid, n, s; regions: v, root."""
+def connected(nodes: DataFrame, regions: DataFrame, central: DataFrame, percent: int, task: int = TASK) -> DataFrame:
+    """Steps 4 and 5: v, root of the nodes with links; nodes: sid, n, s; regions: v, root. All links of a node lie in its region, so what one task finds of a whole region is final."""
     spark = nodes.sparkSession
     small_batches(spark)
     placed = nodes.join(regions, F.col("sid") == F.col("v")).join(central.withColumnRenamed("sid", "sid__"), F.col("sid") == F.col("sid__"), "left")
     placed = cut(placed.select(F.col("root").alias("region"), "sid", "n", "s", F.coalesce("central", F.lit(0.0)).alias("central"), F.lit(-1).alias("known")), "placed")
     size = placed.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max(F.struct("central", "sid")).alias("p"))
     size = cut(size.select(F.col("region").alias("r__"), "m", "total", F.col("p.sid").alias("pivot")), "regions")
-    large = (F.col("m") * F.col("total")) > task
-    small = placed.join(size.where(~large).select("r__"), F.col("region") == F.col("r__"), "left_semi")
-    out = small.groupBy("region").applyInPandas(_joined(percent), EDGE)
-    if size.where(large).limit(1).count():
-        out = out.unionByName(_large(placed, size.where(large), percent, task))
-    return out.where("a <> b")
+    large = size.where((F.col("m") * F.col("total")) > task)
+    n = large.limit(BROADCAST_LABELS + 1).count()
+    if not n:
+        return placed.groupBy("region").applyInPandas(_joined(percent), EDGE).select(F.col("a").alias("v"), F.col("b").alias("root"))
+    # So that no large region's rows meet in one task to be told from small ones, its number is sent where that list is short.
+    large = F.broadcast(large) if n <= BROADCAST_LABELS else large
+    small = placed.join(large.select("r__"), F.col("region") == F.col("r__"), "left_anti")
+    out = small.groupBy("region").applyInPandas(_joined(percent), EDGE).select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return out.unionByName(components(cut(_large(placed, large, percent, task), "links")))
 
 
 def _large(placed: DataFrame, size: DataFrame, percent: int, task: int) -> DataFrame:
     """Step 5: one ball for each large region, then pairs of blocks in order of set size."""
     at = placed.join(size, F.col("region") == F.col("r__"))
-    pivots = at.where("sid = pivot").select(F.col("region").alias("r2__"), F.col("s").alias("ps"), F.col("n").alias("pn"))
-    seen = at.join(pivots, F.col("region") == F.col("r2__")).withColumn("common", F.size(F.array_intersect("s", "ps")))
+    # The pivot's set goes to each of SALT parts of its region.
+    salt = F.pmod(F.xxhash64("sid"), F.lit(SALT)).cast("int")
+    pivots = at.where("sid = pivot").select(F.col("region").alias("r2__"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt2__"))
+    seen = at.withColumn("salt__", salt).join(pivots, (F.col("region") == F.col("r2__")) & (F.col("salt__") == F.col("salt2__"))).withColumn("common", F.size(F.array_intersect("s", "ps")))
     union = F.col("n") + F.col("pn") - F.col("common")
     seen = seen.withColumn("ball", 100 * F.col("common") >= percent * union).withColumn("far", 100 * (union - F.col("common")) > 2 * (100 - percent) * union)
     # Blocks of one side: as many nodes as give a quarter of what a task may compare in a pair.
@@ -275,7 +290,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, task: int = TASK) ->
     """One row for each of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     hashed = cut(sets(docs, k, min(1.0, 2 * (100 - percent) / 100)), "sets")
-    chosen = candidates(hashed, percent)
+    sized = cut(hashed.select("doc_id", "n", "sid"), "sized")
+    chosen = candidates(hashed, sized, percent)
+    dropped(hashed)
     _settled(spark)
     nodes = whole_sets(docs, chosen, k)
     _settled(spark)
@@ -284,9 +301,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, task: int = TASK) ->
     stars = windows.join(roots, F.col("h") == F.col("h__")).select("a", F.col("sid").alias("b")).where("a <> b").distinct()
     regions = components(stars)
     _settled(spark)
-    found = components(cut(links(nodes, regions, central, percent, task), "links"))
+    found = cut(connected(nodes, regions, central, percent, task), "found")
     # All nodes of a group by its root; a node without links is its own.
-    sized = hashed.select("doc_id", "n", "sid")
     owners = sized.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     owners = owners.join(found, F.col("sid") == F.col("v"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
     lowest = owners.groupBy(F.col("root").alias("root__")).agg(F.min("low").alias("component_id"))
@@ -307,7 +323,8 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut(groups(docs, 5, 80), "groups")
     name = free_name(docs, "gone")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    few = found.where("component_id <> doc_id").limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(name), "left_anti")
     again = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "again")
     if not again.limit(1).count():
         return kept
