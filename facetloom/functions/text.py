@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from facetloom.shipping import ship
+
 
 def glob_regex(pattern: str) -> str:
     """An anchored regular expression with the meaning of a glob: * ? [a-z] [^a] and a backslash before any character."""
@@ -96,6 +98,7 @@ def _lcs(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int]]]:
 
 def lcs(a: Column, b: Column, min_match: int = 0) -> Column:
     """struct<lcs, len, matches<a_start, a_end, b_start, b_end>>; quadratic in the lengths, in numpy rows."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("lcs string, len int, matches array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -108,6 +111,7 @@ def lcs(a: Column, b: Column, min_match: int = 0) -> Column:
 
 def xxh3(value: Column) -> Column:
     """XXH3-64 of a value as hex."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
