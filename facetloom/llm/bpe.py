@@ -31,7 +31,7 @@ from facetloom.llm.common import small_batches, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters whose states are found at once; a longer text is taken alone.
 CHUNK = 1 << 19
-CACHED = 600_000
+CACHED = 300_000
 CACHED_LENGTH = 48
 #: Pieces of up to so many bytes are merged by looking through all pairs, longer ones with a heap.
 SHORT = 64
