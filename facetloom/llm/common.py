@@ -12,6 +12,8 @@ from facetloom.shipping import ship
 
 #: Rows of an Arrow batch: bounds a Python worker's memory where single texts are long.
 BATCH_ROWS = 512
+#: Spark's own setting: shuffle files go when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
+    """Writes df as Parquet into the shared folder and reads it again: lineage ends there, a lost executor costs nothing, and the shuffle files of what was written go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

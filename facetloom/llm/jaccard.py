@@ -24,7 +24,6 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +52,6 @@ def _sid(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _settled(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def sets(docs: DataFrame, k: int, part: float) -> DataFrame:
     """doc_id, n (size of the set), sid, some: the set's shingles within the first `part` of all hashes."""
     small_batches(docs.sparkSession)
@@ -288,19 +281,15 @@ def _large(placed: DataFrame, size: DataFrame, percent: int, task: int) -> DataF
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, task: int = TASK) -> DataFrame:
     """One row for each of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
     hashed = cut(sets(docs, k, min(1.0, 2 * (100 - percent) / 100)), "sets")
     sized = cut(hashed.select("doc_id", "n", "sid"), "sized")
     chosen = candidates(hashed, sized, percent)
     dropped(hashed)
-    _settled(spark)
     nodes = whole_sets(docs, chosen, k)
-    _settled(spark)
     windows, central = cells(nodes, percent)
     roots = windows.groupBy("h").agg(F.min("sid").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("h__"), "a")
     stars = windows.join(roots, F.col("h") == F.col("h__")).select("a", F.col("sid").alias("b")).where("a <> b").distinct()
     regions = components(stars)
-    _settled(spark)
     found = cut(connected(nodes, regions, central, percent, task), "found")
     # All nodes of a group by its root; a node without links is its own.
     owners = sized.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
