@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Equal vectors become one class, kept with its smallest ids. Vectors are projected by several random rotations to a few
-dimensions, each grid is shifted at random, and the Hilbert key of the cell orders all classes along one curve for each
-rotation. The orderings are range-partitioned sorts in Spark; a class's rank is its place in its partition plus the
-sizes of the partitions before. A query looks at the classes whose rank on a curve is within `window` (a share of all classes) of
-its own, block by block of ranks, scores them with the inner product of the original vectors in double precision, and
-the best of all curves and blocks merge. Where norms differ, one more coordinate that makes them equal goes into the projection only, so that
-near means a large inner product.
+Equal vectors become one class, kept with its smallest ids. Classes are split into bands of norms that differ by less than a factor of
+RATIO, so that within a band near in direction means a large inner product. Directions are projected by several random rotations to a few
+dimensions, the cells of each grid follow quantiles of its coordinates and are shifted at random, and the Hilbert key of the cell orders the classes of a
+band along one curve for each rotation; equal keys are ordered by a hash of their own on each curve. The orderings are range-partitioned sorts in Spark; a
+class's rank is its place in its partition plus the sizes of the partitions before. A query is placed in every band, looks at the classes whose rank on
+a curve is within `window` (a share of the band's classes) of its own place, block by block of ranks, scores them with the inner product of the original
+vectors in double precision, and the best of all bands, curves and blocks merge.
 
 The window is a share of the classes, so recall is alike at every size; so is the share of classes looked at. Parameters hold for data without
 structure in 64 dimensions, the hardest case: see the README for the recall measured against brute force.
@@ -19,18 +19,23 @@ vectors give no rows. Ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import cut, small_batches, table
+from facetloom.llm.common import cut, hashed_share, small_batches, table
 
 CURVES, DIMS, BITS, WINDOW = 24, 8, 3, 0.025
 #: Ranks in a block: bounds what one group of the search holds.
 BLOCK = 1024
+#: Norms of a band differ by less than this, or by more where there would be more than BANDS of them; norms are counted in steps of STEP of their logarithm.
+RATIO, BANDS, STEP = 2.0, 64, 0.01
+#: Classes whose coordinates give the quantiles, and the standard deviations of a normal coordinate at which these are taken.
+SAMPLE, POINTS = 4096, np.linspace(-3, 3, 25)
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -78,73 +83,121 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _keys(v: np.ndarray, norm: float, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
-    """One key for each vector (rows) and curve."""
-    extra = np.sqrt(np.maximum(norm * norm - (v * v).sum(1), 0))[:, None]
-    v = np.hstack([v, extra])
+def _coordinates(v: np.ndarray, curves: int, dims: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each curve the projected directions of vectors (rows), and the shift of its grid."""
+    v = v / np.abs(v).max(1)[:, None]
+    v = v / np.sqrt((v * v).sum(1))[:, None]
     rng = np.random.default_rng(seed)
-    out = np.empty((len(v), curves), np.int64)
     dims = min(dims, v.shape[1])
-    side = 1 << (bits - 1)
-    for c in range(curves):
+    for _ in range(curves):
         turn = np.linalg.qr(rng.standard_normal((v.shape[1], dims)))[0]
-        # Three standard deviations of a coordinate of the longest vectors span the grid; the shift moves it by up to a cell.
-        unit = (v @ turn) * (np.sqrt(v.shape[1]) / (norm * 6)) + 0.5
-        cells = np.floor(np.clip(unit, 0, 1 - 1e-9) * (side - 1 if side > 1 else 1) * 2 + 2 * rng.random(dims))
-        out[:, c] = hilbert(np.clip(cells, 0, 2 * side - 1), bits)
+        yield v @ turn, rng.random(dims)
+
+
+def _grids(sample: np.ndarray, curves: int, dims: int, seed: int) -> np.ndarray:
+    """Quantiles of the coordinates: curve, point, dimension."""
+    share = [NormalDist().cdf(z) for z in POINTS]
+    return np.stack([np.quantile(x, share, axis=0) for x, _ in _coordinates(sample, curves, dims, seed)])
+
+
+def _keys(v: np.ndarray, grids: np.ndarray, dims: int, bits: int, seed: int) -> np.ndarray:
+    """One key for each vector (rows) and curve."""
+    out = np.empty((len(v), len(grids)), np.int64)
+    side = 1 << (bits - 1)
+    for c, (x, shift) in enumerate(_coordinates(v, len(grids), dims, seed)):
+        # Three standard deviations either side span the grid, had a coordinate a normal distribution; the shift moves it by up to two cells.
+        unit = np.stack([np.interp(x[:, j], grids[c, :, j], POINTS) for j in range(x.shape[1])], 1) / 6 + 0.5
+        cells = np.floor(np.clip(unit, 0, 1 - 1e-9) * (side - 1 if side > 1 else 1) * 2 + 2 * shift)
+        out[:, c] = hilbert(np.clip(cells, 0, 2 * side - 1).astype(np.int64), bits)
     return out
 
 
-def ranked(cls: DataFrame, curves: int, dims: int, bits: int, seed: int) -> tuple[DataFrame, int]:
-    """(curve, rank, cid, v), and the number of classes."""
+def _log_norm(v: str) -> Column:
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.log(top) + F.log(F.aggregate(F.transform(v, lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x)) / 2
+
+
+def bands(cls: DataFrame, least: int) -> tuple[list[tuple[int, int]], float]:
+    """The first step of norms (from the longest down) and the number of classes of each band, and the longest norm's logarithm. A band that has no more than `least` classes goes on."""
+    top, low = cls.agg(F.max(_log_norm("v")), F.min(_log_norm("v"))).first()
+    if top is None:
+        return [], 0.0
+    width = max(np.log(RATIO), (top - low) / BANDS) / STEP
+    out: list[tuple[int, int]] = []
+    for r in cls.groupBy(_step(top).alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect():
+        if out and (r["step"] - out[-1][0] < width or out[-1][1] <= least):
+            out[-1] = (out[-1][0], out[-1][1] + r["n"])
+        else:
+            out.append((r["step"], r["n"]))
+    return out, top
+
+
+def _step(top: float) -> Column:
+    return F.floor((F.lit(top) - _log_norm("v")) / STEP).cast("long")
+
+
+def ranked(cls: DataFrame, asking: DataFrame, found: list[tuple[int, int]], top: float, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
+    """(band, curve, rank, cid, v, asks): the classes, and each one of asking (cid, v) in every band, where its rank is that of the first class not before it."""
     spark = cls.sparkSession
     small_batches(spark, 4096)
-    n, norm = cls.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    if not n:
-        return spark.createDataFrame([], "curve int, rank long, cid long, v array<double>"), 0
+    total = sum(n for _, n in found)
+    picked = cls.where(hashed_share("cid", SAMPLE, total)).orderBy(F.xxhash64(F.lit("grid"), "cid"), "cid").limit(SAMPLE).select("v").collect()
+    grids = _grids(np.array([r["v"] for r in picked or cls.limit(1).select("v").collect()]), curves, dims, seed)
 
     @F.pandas_udf("array<long>")
     def keys(v: pd.Series) -> pd.Series:
-        return pd.Series(list(_keys(np.vstack(v.to_numpy()), norm, curves, dims, bits, seed))) if len(v) else pd.Series([], dtype=object)
+        return pd.Series(list(_keys(np.vstack(v.to_numpy()), grids, dims, bits, seed))) if len(v) else pd.Series([], dtype=object)
 
-    placed = cls.select("cid", "v", F.posexplode(keys("v")).alias("curve", "key")).select("curve", "key", "cid", F.col("v").cast("array<float>").alias("f"), "v")
+    starts = F.array(*[F.lit(first) for first, _ in found]).cast("array<long>")
+    own = F.size(F.filter(starts, lambda x: x <= F.col("step"))) - 1
+    members = cls.withColumn("step", _step(top)).select("cid", "v", F.array(own).alias("at"), F.lit(False).alias("asks"))
+    both = members.unionByName(asking.select("cid", "v", F.sequence(F.lit(0), F.lit(len(found) - 1)).alias("at"), F.lit(True).alias("asks")))
     exact = cls.where(F.exists("v", lambda x: x != x.cast("float").cast("double"))).limit(1).count() == 0
-    placed = placed.select("curve", "key", "cid", (F.col("f") if exact else F.col("v")).alias("v"))
     kind = "array<float>" if exact else "array<double>"
+    placed = both.select("cid", "v", "at", "asks", F.posexplode(keys("v")).alias("curve", "key"))
+    placed = placed.select(F.explode("at").alias("band"), "curve", "key", F.xxhash64("curve", "cid").alias("tie"), "cid", (~F.col("asks")).alias("member"), F.col("v").cast(kind).alias("v"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = 0, TaskContext.get().partitionId()
         for b in batches:
-            b = b.drop(columns="key")
-            b["part"], b["place"] = own, np.arange(at, at + len(b))
-            at += len(b)
+            b = b.drop(columns=["key", "tie"])
+            upto = at + b["member"].to_numpy().cumsum()
+            b["part"], b["place"] = own, upto - b["member"].to_numpy()
+            at = int(upto[-1]) if len(b) else at
             yield b
 
-    # Written, so that places and counts come from one and the same sort.
-    ordered = cut(placed.repartitionByRange(parts, "curve", "key", "cid").sortWithinPartitions("curve", "key", "cid").mapInPandas(number, f"curve int, cid long, v {kind}, part int, place long"), "curves")
-    counts = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
+    # Written, so that places and counts come from one and the same sort. A class that asks stands right before itself.
+    order = ["band", "curve", "key", "tie", "cid", "member"]
+    ordered = cut(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(number, f"band int, curve int, cid long, member boolean, v {kind}, part int, place long"), "curves")
+    counts = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.sum(F.col("member").cast("long")).alias("n")).collect())
+    before, upto = {}, 0
     for part, size in counts:
-        before[part] = total
-        total += size
+        before[part] = upto
+        upto += size
     offsets = spark.createDataFrame(list(before.items()), "part int, before long")  # a row for each partition
-    # Every curve has all n classes, so the global place less the curves before is the rank.
-    ranks = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("place") - F.col("curve") * F.lit(n))
-    return ranks.select("curve", "rank", "cid", "v"), n
+    # Every curve of a band has all its classes, so the global place less the bands and curves before is the rank.
+    firsts = F.array(*[F.lit(curves * sum(n for _, n in found[:i])) for i in range(len(found))]).cast("array<long>")
+    sizes = F.array(*[F.lit(n) for _, n in found]).cast("array<long>")
+    rank = F.col("before") + F.col("place") - F.get(firsts, "band") - F.col("curve") * F.get(sizes, "band")
+    return ordered.join(F.broadcast(offsets), "part").select("band", "curve", rank.alias("rank"), "cid", "v", (~F.col("member")).alias("asks"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: float = WINDOW, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """vectors: id, v. queries: id (of those). query_id, rank, vec_id, score of the k largest inner products found."""
     small_batches(vectors.sparkSession, 4096)
     cls = cut(classes(vectors, k + 1), "classes")
-    ranks, n = ranked(cls, curves, dims, bits, seed)
-    reach = max(2 * k, int(np.ceil(window * n)))
-    asking = cut(vectors.join(queries.select("id").distinct(), "id", "left_semi").distinct().join(cls.select("v", "cid"), "v").select("id", "cid"), "queries")
-    askers = ranks.join(asking.select(F.col("cid").alias("asked")).distinct(), F.col("cid") == F.col("asked"), "left_semi")
-    spread = F.sequence(F.greatest(F.lit(0), F.expr(f"(rank - {reach}) div {block}")), F.least(F.lit((n - 1) // block if n else 0), F.expr(f"(rank + {reach}) div {block}")))
-    sent = askers.select(F.col("curve").alias("q_curve"), F.explode(spread).alias("q_block"), F.col("rank").alias("q_rank"), F.col("cid").alias("q"), F.col("v").alias("q_v"))
-    here = ranks.select("curve", F.expr(f"rank div {block}").alias("block"), "rank", "cid", "v")
+    asking = cut(vectors.join(queries.select("id").distinct(), "id", "left_semi").distinct().join(cls.select("v", "cid"), "v").select("id", "cid", "v"), "queries")
+    found_bands, top = bands(cls, 2 * k)
+    if not found_bands:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ranks = ranked(cls, asking.select("cid", "v").distinct(), found_bands, top, curves, dims, bits, seed)
+    reaches = F.array(*[F.lit(max(2 * k, int(np.ceil(window * n)))) for _, n in found_bands]).cast("array<long>")
+    lasts = F.array(*[F.lit((n - 1) // block) for _, n in found_bands]).cast("array<long>")
+    askers = ranks.where("asks").withColumn("reach", F.get(reaches, "band")).withColumn("last", F.get(lasts, "band"))
+    spread = F.sequence(F.greatest(F.lit(0), F.expr(f"(rank - reach) div {block}")), F.least(F.col("last"), F.expr(f"(rank + reach) div {block}")))
+    sent = askers.select(F.col("band").alias("q_band"), F.col("curve").alias("q_curve"), F.explode(spread).alias("q_block"), F.col("rank").alias("q_rank"), "reach", F.col("cid").alias("q"), F.col("v").alias("q_v"))
+    here = ranks.where("not asks").select("band", "curve", F.expr(f"rank div {block}").alias("block"), "rank", "cid", "v")
 
     def search(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": [], "cid": [], "score": []}).astype({"q": "int64", "cid": "int64"})
@@ -156,7 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = C
             part = q.iloc[start : start + 2048]
             y = np.vstack(part["q_v"].to_numpy()).astype(float)
             s = y @ x.T
-            s[np.abs(part["q_rank"].to_numpy()[:, None] - rank[None, :]) > reach] = -np.inf
+            s[np.abs(part["q_rank"].to_numpy()[:, None] - rank[None, :]) > part["reach"].to_numpy()[:, None]] = -np.inf
             few = min(k + 12, s.shape[1])
             top = np.argpartition(-s, few - 1, axis=1)[:, :few]
             # Component after component in one order, so that a pair has one score wherever it is made.
@@ -170,13 +223,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = C
             out.append(pd.DataFrame({"q": np.broadcast_to(part["q"].to_numpy()[:, None], best.shape)[real], "cid": ids[real], "score": best[real]}))
         return pd.concat(out)
 
-    found = sent.groupBy("q_curve", "q_block").cogroup(here.groupBy("curve", "block")).applyInPandas(search, "q long, cid long, score double")
+    found = sent.groupBy("q_band", "q_curve", "q_block").cogroup(here.groupBy("band", "curve", "block")).applyInPandas(search, "q long, cid long, score double")
     by_query = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     best = found.distinct().withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).select("q", "cid", "score")
     # Classes become ids again; the query itself is none of its neighbours.
     named = best.join(cls.select("cid", "ids"), "cid").select("q", F.explode("ids").alias("vec_id"), "score")
     few = named.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    own = asking.join(few, asking["cid"] == few["q"]).where(F.col("id") != F.col("vec_id"))
+    own = asking.drop("v").join(few, F.col("cid") == few["q"]).where(F.col("id") != F.col("vec_id"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
     return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
 

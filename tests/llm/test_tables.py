@@ -104,6 +104,27 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(usable.limit(0), usable.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_neighbours_of_unequal_norms(spark, norms):
+    """Recall at the production window, which curves, cells and bands must give where norms differ."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "one long":
+        x[17] *= 100
+    else:
+        x *= np.exp(rng.standard_normal(len(x)))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = neighbours.nearest(df, df.where("id % 20 = 0"), 20).toPandas()
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(found) == 20
+        hits += (found["score"] >= np.sort(s)[-20] - 1e-9).sum()
+    assert hits / (20 * 150) >= 0.93
+
+
 def test_rollup(spark, tmp_path):
     df = spark.createDataFrame([("a", "en", 3, 4), ("a", "en", 5, 6), (None, None, None, 1)], "source string, lang string, n long, m long")
     r = rollup.Rollup(spark, "file://" + str(tmp_path / "r"))
