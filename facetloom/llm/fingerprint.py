@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash.
 
-A text's words are hashed, k consecutive ones at a time, and every repetition of a k-mer gets its occurrence number, so
+A text's runs of CHARS characters, one from each character on, are hashed, k consecutive ones at a time (CHARS + k - 1 characters, six as set), by one rule for all
+scripts and lengths; white space counts as one space, and as none at the ends, and marks before the text give every character a k-mer that it ends. Every repetition of such a k-mer gets its occurrence number, so
 that it is an element of its own. For each of `lanes` permutations the two elements with the smallest permuted hashes
 are selected, put in the order in which they stand in the text, and their hashes are combined: a tuple per lane. The
 share of equal lanes estimates how alike two texts are, in what they hold and in which order, as edit distance does.
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom.llm.common import small_batches, table
-from facetloom.llm.wordhash import mixed, rolled, word_hashes
+from facetloom.llm.wordhash import mixed, rolled
 
-LANES, KMER = 64, 2
+LANES, KMER, CHARS = 64, 2, 5
 _U = np.uint64
 #: Elements that are permuted at once, which keeps lanes times elements in the processor's cache.
 BLOCK = 1 << 10
@@ -35,11 +36,31 @@ def _lanes(lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (seed[:lanes] >> _U(32)).astype(np.uint32)[:, None], (seed[lanes:] >> _U(32)).astype(np.uint32)[:, None] | np.uint32(1), seed[:lanes]
 
 
+def _characters(text: str | None) -> np.ndarray:
+    """Code points; a run of \\x20 and \\x09-\\x0D is one space, and none at the ends."""
+    code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+    gap = (code == 0x20) | ((code >= 0x09) & (code <= 0x0D))
+    if not gap.any():
+        return code
+    code = np.where(gap, np.uint32(0x20), code)[~gap | np.r_[False, ~gap[:-1]]]
+    return code[:-1] if len(code) and code[-1] == 0x20 else code
+
+
+def _runs(code: np.ndarray) -> np.ndarray:
+    """Hashes of all CHARS consecutive characters."""
+    n, code = len(code) - CHARS + 1, code.astype(_U)
+    m = np.zeros(n, _U)
+    for i in range(CHARS):
+        m = m * _U(0x5851F42D4C957F2D) + code[i : i + n]
+    return mixed(m)
+
+
 def elements(text: str | None, k: int = KMER) -> np.ndarray:
-    """The occurrence-numbered k-mers of a text in their order; fewer than k words are one k-mer."""
-    m = rolled(word_hashes(text), k)
-    if not len(m):
-        return m
+    """The occurrence-numbered k-mers of a text in their order, one for each character."""
+    code = _characters(text)
+    if not len(code):
+        return np.zeros(0, _U)
+    m = rolled(_runs(np.r_[np.full(CHARS + k - 2, 0x110000, np.uint32), code]), k)
     # Occurrence numbers: the place within its group of equal k-mers, in the order of the text.
     order = np.argsort(m, kind="stable")
     ordered = m[order]
@@ -51,30 +72,54 @@ def elements(text: str | None, k: int = KMER) -> np.ndarray:
     return mixed(m)
 
 
-def signature(text: str | None, lanes: int = LANES, k: int = KMER) -> np.ndarray:
-    e = elements(text, k)
-    if not len(e):
-        return np.zeros(lanes, np.uint16)
-    offset, factor, seed = _lanes(lanes)
-    short = (e >> _U(32)).astype(np.uint32)
+def _least(e: np.ndarray, lanes: int, start: int = 0, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each lane the two smallest permuted hashes and their places, given those of the elements before start."""
+    offset, factor, _ = _lanes(lanes)
+    short = (e[start:] >> _U(32)).astype(np.uint32)
     rows, top = np.arange(lanes)[:, None], np.iinfo(np.uint32).max
-    best, at = np.empty((lanes, 0), np.int64), np.empty((lanes, 0), np.int64)
-    for start in range(0, len(e), BLOCK):
-        p = (short[None, start : start + BLOCK] ^ offset) * factor
+    best, at = state or (np.empty((lanes, 0), np.int64), np.empty((lanes, 0), np.int64))
+    for first in range(0, len(short), BLOCK):
+        p = (short[None, first : first + BLOCK] ^ offset) * factor
         i = p.argmin(1)[:, None]
         v = p[rows, i]
         p[rows, i] = top
         j = p.argmin(1)[:, None] if p.shape[1] > 1 else i
         # Those of this block beside the best so far; of equal ones the earlier, as the sort is stable.
         best = np.concatenate([best, v, p[rows, j]][: 2 + (p.shape[1] > 1)], 1).astype(np.int64)
-        at = np.concatenate([at, i + start, j + start][: 2 + (p.shape[1] > 1)], 1)
+        at = np.concatenate([at, i + start + first, j + start + first][: 2 + (p.shape[1] > 1)], 1)
         pick = np.argsort(best, axis=1, kind="stable")[:, :2]
         best, at = best[rows, pick], at[rows, pick]
-    at.sort(1)
+    return best, at
+
+
+def _tuples(e: np.ndarray, lanes: int, at: np.ndarray) -> np.ndarray:
+    if not len(e):
+        return np.zeros(lanes, np.uint16)
+    at, seed = np.sort(at, 1), _lanes(lanes)[2]
     first = e[at[:, 0]] if at.shape[1] > 1 else np.zeros(lanes, _U)
     return (mixed(mixed(first ^ seed) * _U(5) + e[at[:, -1]]) >> _U(48)).astype(np.uint16) | np.uint16(1)
 
 
+def signature(text: str | None, lanes: int = LANES, k: int = KMER) -> np.ndarray:
+    e = elements(text, k)
+    return _tuples(e, lanes, _least(e, lanes)[1])
+
+
+def _begun(text: str, lanes: int, k: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """signature(text), and the elements within the part that edited() leaves, with their minima."""
+    e = elements(text, k)
+    same = e[: len(_characters(text[: len(text) - len(text) // 4]))]
+    state = _least(same, lanes)
+    return _tuples(e, lanes, _least(e, lanes, len(same), state)[1]), same, state
+
+
+def _gone_on(text: str, same: np.ndarray, state: tuple[np.ndarray, np.ndarray], lanes: int, k: int) -> np.ndarray:
+    """signature(text), from the minima of elements with which it may start."""
+    e = elements(text, k)
+    shared = len(same) and len(same) <= len(e) and bool((e[: len(same)] == same).all())
+    return _tuples(e, lanes, (_least(e, lanes, len(same), state) if shared else _least(e, lanes))[1])
+
+
 def text_of(sig: np.ndarray) -> str:
     return sig.astype("<u2").tobytes().hex()
 
@@ -155,18 +200,18 @@ def compare_with_next(docs: DataFrame, lanes: int = LANES, k: int = KMER) -> Dat
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row before: id, text, signature, part
+        held = None  # the row before: id, text, signature, part, whether it only follows, and what its edited text shares
         for batch in batches:
             out = []
             for doc_id, text, part, halo in zip(batch["doc_id"], batch["text"], batch["part__"], batch["halo__"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                sig = signature(text, lanes, k)
+                sig, *shared = _begun(text, lanes, k)
                 if held is not None and held[3] == part and not held[4]:
                     own = held[1]
                     new = edited(own, text)
-                    e = signature(new, lanes, k)
+                    e = _gone_on(new, *held[5], lanes, k)
                     out.append((held[0], len(own), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), text_of(held[2]), text_of(e), likeness(held[2], e), likeness(held[2], sig)))
-                held = (doc_id, text, sig, part, halo)
+                held = (doc_id, text, sig, part, halo, shared)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"doc_id": "Int64"})
 
     return with_next(docs).select("doc_id", "text", "part__", "halo__").mapInPandas(run, OUT)

@@ -106,6 +106,17 @@ def test_signatures_feel_order_and_edits():
     assert fingerprint.likeness(a, fingerprint.signature(" ".join(words[150:] + words[:150]))) < 0.8
 
 
+def test_signatures_feel_edits_without_spaces():
+    rng = random.Random(5)
+    long = "".join(rng.choices("的一是不了人我在有他这为之大来以个中上们", k=2000))
+    a, b = fingerprint.signature(long), fingerprint.signature(fingerprint.edited(long, "".join(rng.choices("abcdefgh", k=2000))))
+    assert 0.2 < fingerprint.likeness(a, b) < 0.7
+    # Texts of few words, too, keep something of three quarters of their characters.
+    for text in ("information retrieval", "one_long_token_of_a_line", "Universität Heidelberg Bibliothek", "日本語の文", "word"):
+        assert fingerprint.likeness(fingerprint.signature(text), fingerprint.signature(fingerprint.edited(text, "zzzzzzzzzzzz"))) > 0
+    assert (fingerprint.signature(" a  b\n") == fingerprint.signature("a b")).all() and not fingerprint.signature(" \n ").any()
+
+
 @pytest.mark.parametrize("per", [3, 1000])
 def test_fingerprints_with_next(spark, per, monkeypatch):
     rng = random.Random(3)
