@@ -53,16 +53,16 @@ def _sid(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, k: int, part: float) -> DataFrame:
-    """doc_id, n (size of the set), sid, some: the set's shingles within the first `part` of all hashes."""
+    """doc_id, th (a hash of the text), n (size of the set), sid, some: the set's shingles within the first `part` of all hashes."""
     small_batches(docs.sparkSession)
     below = np.uint64(min(int(part * 2.0**64), (1 << 64) - 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [shingles(t, k) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(s) for s in own], "sid": [_sid(s) for s in own], "some": pd.Series([s[: np.searchsorted(s, below)].view(np.int64) for s in own], dtype=object)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "th": b["th"], "n": [len(s) for s in own], "sid": [_sid(s) for s in own], "some": pd.Series([s[: np.searchsorted(s, below)].view(np.int64) for s in own], dtype=object)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, sid long, some array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, sid long, some array<long>")
 
 
 def _alone(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -281,8 +281,13 @@ def _large(placed: DataFrame, size: DataFrame, percent: int, task: int) -> DataF
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, task: int = TASK) -> DataFrame:
     """One row for each of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    return _rows(docs, k, percent, task).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _rows(docs: DataFrame, k: int, percent: int, task: int = TASK) -> DataFrame:
+    """One row for each of docs: doc_id, th, n, and of those with shingles root and component_id."""
     hashed = cut(sets(docs, k, min(1.0, 2 * (100 - percent) / 100)), "sets")
-    sized = cut(hashed.select("doc_id", "n", "sid"), "sized")
+    sized = cut(hashed.select("doc_id", "th", "n", "sid"), "sized")
     chosen = candidates(hashed, sized, percent)
     dropped(hashed)
     nodes = whole_sets(docs, chosen, k)
@@ -295,9 +300,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, task: int = TASK) ->
     owners = sized.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
     owners = owners.join(found, F.col("sid") == F.col("v"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
     lowest = owners.groupBy(F.col("root").alias("root__")).agg(F.min("low").alias("component_id"))
-    ids = owners.join(lowest, F.col("root") == F.col("root__")).select(F.col("sid").alias("sid__"), "component_id")
+    ids = owners.join(lowest, F.col("root") == F.col("root__")).select(F.col("sid").alias("sid__"), "root", "component_id")
     both = sized.join(ids, (F.col("sid") == F.col("sid__")) & (F.col("n") > 0), "left")
-    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return both.select("doc_id", "th", "n", "root", "component_id")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,19 +310,28 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with its columns: the one with the smallest id.
+    """One document of each group, with its columns: the one with the smallest id, and of texts that share it the one with the smallest hash.
 
-    Documents without shingles stay, and those of a null id, which nothing can name. Of rows that repeat an id with one text, one stays.
+    It is decided by row, so that an id that is repeated with other texts loses only those that are copies. Rows of a null id, which nothing can name,
+    are compared among themselves: one of each group stays. Of rows that repeat an id with one text, one stays. Documents without shingles stay.
     """
-    found = cut(groups(docs, 5, 80), "groups")
-    name = free_name(docs, "gone")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    few = found.where("component_id <> doc_id").limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(name), "left_anti")
-    again = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "again")
+    found = cut(_rows(docs, 5, 80), "groups")
+    first = found.where("n > 0").groupBy(F.col("root").alias("root__")).agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("own"), F.min(F.when(F.col("doc_id").isNull(), F.col("th"))).alias("nameless")
+    )
+    stays = F.when(F.col("doc_id").isNull(), F.col("th") == F.col("nameless")).otherwise(F.struct("doc_id", "th") == F.col("own"))
+    name, text_name = free_name(docs, "gone"), free_name(docs, "gone_text")
+    gone = found.where("n > 0").join(first, F.col("root") == F.col("root__")).where(~stays).select(F.col("doc_id").alias(name), F.col("th").alias(text_name)).distinct()
+    gone = cut(gone, "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    same = docs["doc_id"].eqNullSafe(F.col(name)) & (F.xxhash64(docs["text"]) == F.col(text_name))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    again = found.groupBy(F.col("doc_id").alias(name), F.col("th").alias(text_name)).agg(F.count("*").alias("c"), F.max("n").alias("n")).where(f"c > 1 and (n > 0 or {name} is not null)")
+    again = cut(again.select(name, text_name), "again")
     if not again.limit(1).count():
         return kept
-    # Only rows of repeated ids are compared, so that texts do not travel for the others.
+    # Only rows that are repeated are compared, so that texts do not travel for the others.
+    same = kept["doc_id"].eqNullSafe(F.col(name)) & (F.xxhash64(kept["text"]) == F.col(text_name))
     place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("doc_id"))
-    once = kept.join(again, kept["doc_id"] == F.col(name), "left_semi").withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
-    return kept.join(again, kept["doc_id"] == F.col(name), "left_anti").unionByName(once)
+    once = kept.join(again, same, "left_semi").withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(once)

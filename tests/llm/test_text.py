@@ -189,6 +189,23 @@ def test_groups_stage(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, None]
 
 
+def test_groups_stage_decides_by_row(spark):
+    """Against a plain version: repeated ids with other texts, and null ids."""
+    rng = random.Random(8)
+    bases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(9)]
+    rows = [(1, bases[0]), (5, bases[0] + " x"), (5, bases[1]), (7, bases[1] + " x"), (5, bases[2])]
+    rows += [(rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choice(bases[3:]) + rng.choice(["", " x", " y"])) for _ in range(40)] + [(None, bases[8])] * 5
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], DOCS)
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    want = set()
+    for base in bases:
+        group = [(d, t) for d, t in rows if t.startswith(base)]
+        for part in ([x for x in group if x[0] is not None], [x for x in group if x[0] is None]):
+            if part:
+                want.add(min(part, key=lambda x: (x[0] or 0, hashes[x[1]])))
+    assert sorted(((r["doc_id"], r["text"]) for r in jaccard.keep(spark, df, "").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_word_hashes(monkeypatch):
     import re
 
