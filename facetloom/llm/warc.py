@@ -61,7 +61,7 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def derivatives(records: DataFrame) -> DataFrame:
     """Two rows for each response: key, record_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest, source_headers, block."""
-    r = records.select("key", "record_id", "target_uri", "date", F.coalesce("headers", F.lit("")).alias("headers"), F.coalesce("payload", F.lit("")).alias("payload"))
+    r = records.select("key", F.coalesce("record_id", F.lit("")).alias("record_id"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", F.coalesce("headers", F.lit("")).alias("headers"), F.coalesce("payload", F.lit("")).alias("payload"))
     r = r.withColumn("payload_digest", _digest(F.col("payload")))
     title = F.regexp_replace(_decoded(F.regexp_extract("payload", TITLE, 1)), r"[ \t\r\n\f]+", " ")
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _decoded(F.regexp_replace(x, r"[\r\n]+", " ")), F.lit("\r\n")))

@@ -69,6 +69,15 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_of_null_fields(spark):
+    records = spark.createDataFrame([(1, None, None, "d", None, "<p>x</p>")], "key long, record_id string, target_uri string, date string, headers string, payload string")
+    found = warc.derivatives(records)
+    got = {r["record_type"]: r for r in found.collect()}
+    assert got["metadata"]["block"].startswith("via: \r\npayload-digest: sha256:") and got["conversion"]["block"] == "x"
+    assert all(r["record_id"] and r["content_length"] == len(r["block"]) for r in got.values())
+    assert all("x" in r["value"] or "via" in r["value"] for r in warc.as_text(found).collect())
+
+
 def test_hilbert_is_a_curve():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = neighbours.hilbert(cells, 3)
