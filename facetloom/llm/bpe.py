@@ -5,15 +5,17 @@ transition function on a few states (after a space, inside letters, after an apo
 and so on); functions compose associatively, so states at all characters come from a blocked prefix scan over the
 finite monoid that the functions generate. Where a piece starts follows from the states and classes around a
 character. No regular expression runs. The pieces are the slices between starts; each goes through a bounded cache of
-merged pieces. Ids come as packed little-endian 32-bit integers, beside the byte offset at which each token ends.
+merged pieces. Ids come as packed little-endian 32-bit integers, beside the byte offset at which each token ends;
+decoding lays the tokens' bytes at these offsets. round_trip() does both in one pass of one Python worker a task.
 
 Defined results: a null text counts as empty and has no token; lone surrogates cannot occur in Spark strings; a piece of
-any length is merged in O(n log n). Repeated rows get equal results.
+any length is merged in O(n log n). Repeated rows get equal results; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -31,11 +33,13 @@ from facetloom.llm.common import small_batches, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters whose states are found at once; a longer text is taken alone.
 CHUNK = 1 << 19
-CACHED = 300_000
+CACHED = 200_000
 CACHED_LENGTH = 48
 #: Pieces of up to so many bytes are merged by looking through all pairs, longer ones with a heap.
 SHORT = 64
 NEVER = 1 << 40
+#: Tokens whose bytes are laid out at once.
+LAID = 1 << 16
 
 # Character classes.
 END, LETTER, SINGLE, R, V, L, E, NUMBER, APOSTROPHE, OTHER, SPACE, WHITE = range(12)
@@ -191,6 +195,8 @@ class Codec(dict):
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.begins = np.cumsum(self.lengths) - self.lengths
 
     def merged(self, raw: bytes) -> list[int]:
         """Always joins the pair of lowest rank, the leftmost of equal ones."""
@@ -244,8 +250,16 @@ class Codec(dict):
         """The byte offset behind each token, packed as the ids are."""
         return self.lengths[np.frombuffer(ids, "<u4")].cumsum().astype("<u4").tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, ends: bytes | None = None) -> bytes:
+        """The bytes of packed ids, each token's laid where the one before ends."""
+        at, end = np.frombuffer(ids, "<u4"), np.frombuffer(self.ends(ids) if ends is None else ends, "<u4").astype(np.int64)
+        out = []
+        for first in range(0, len(at), LAID):
+            own, to = at[first : first + LAID], end[first : first + LAID]
+            start = int(end[first - 1]) if first else 0
+            before = np.r_[start, to[:-1]]
+            out.append(self.bytes[np.repeat(self.begins[own] - before, to - before) + np.arange(start, int(to[-1]))].tobytes())
+        return b"".join(out)
 
     def span(self, ids: bytes, ends: bytes, start: int, stop: int) -> bytes:
         """Bytes start to stop of the text, from the tokens that cover them only."""
@@ -281,6 +295,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str, out: str = "decoded") -> DataFrame:
     """df with a binary column: the bytes that packed ids stand for; null ids: no bytes."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("binary")
@@ -292,10 +307,25 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str, out: str = "decoded
     return df.withColumn(out, decoded(F.col(ids)))
 
 
+def round_trip(df: DataFrame, ranks: dict[bytes, int], text: str = "text", out: str = "trip") -> DataFrame:
+    """df with a struct column: n_tokens and the SHA-256 of packed ids and of the bytes decoded from them. Only these leave the Python worker."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def tripped(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(shared)
+        for texts in batches:
+            ids = codec.encode([t or "" for t in texts])
+            back = (codec.decode(x, codec.ends(x)) for x in ids)
+            yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]})
+
+    return df.withColumn(out, tripped(F.col(text)))
+
+
 def _digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     ranks = load(vocabulary or public_tokenizers.path(VOCABULARY))
-    done = decode(encode(docs.select("doc_id", "text"), ranks), ranks, "tokens.ids")
-    return done.select("doc_id", F.expr("cast(length(tokens.ids) div 4 as bigint)").alias("n_tokens"), F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs.select("doc_id", "text"), ranks).select("doc_id", "trip.n_tokens", "trip.ids_sha256", "trip.decoded_sha256")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,14 @@ def test_bpe_small_chunks_and_cache(codec, library, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_decodes_by_offsets(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "LAID", 3)
+    for text in ("", "a", "Größe and size, 字 or not", "x " * 40):
+        ids = codec.encode([text])[0]
+        assert codec.decode(ids, codec.ends(ids)) == codec.decode(ids) == text.encode()
+        assert codec.decode(ids) == b"".join(codec.tokens[i] for i in np.frombuffer(ids, "<u4"))
+
+
 def test_bpe_spans(codec):
     text = "Größe and size, 字 or not"
     ids = codec.encode([text])[0]
@@ -69,6 +77,10 @@ def test_bpe_frame(spark, codec):
     got = bpe._digests(df.drop("tokens")).collect()
     assert [r["n_tokens"] for r in got] == [0, 0, 2, 2, len(codec.encode(["tokens"])[0]) // 4]
     assert got[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["decoded_sha256"] == hashlib.sha256(b"hello world").hexdigest()
+    for r, ids, text in zip(got, codec.encode(["", "", "hello world", "hello world", "tokens"]), [b"", b"", b"hello world", b"hello world", b"tokens"], strict=True):
+        assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text).hexdigest()
+    back = bpe.decode(bpe.encode(df, codec.ranks, out="t"), codec.ranks, "t.ids", "back").collect()
+    assert [bytes(r["back"]).decode() for r in back] == ["", "", "hello world", "hello world", "tokens"] and back[2]["tokens"] == "x"
     assert bpe._digests(df.limit(0)).count() == 0
     assert bpe.encode(df, codec.ranks, out="ids").columns == ["doc_id", "text", "tokens", "ids"]
 
