@@ -115,7 +115,7 @@ def test_neighbours_recall_and_edges(spark):
 
 @pytest.mark.parametrize("norms", ["one long", "lognormal"])
 def test_neighbours_of_unequal_norms(spark, norms):
-    """Recall at the production window, which curves, cells and bands must give where norms differ."""
+    """Recall with the production parameters, which curves, cells and bands must give where norms differ."""
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -134,6 +134,39 @@ def test_neighbours_of_unequal_norms(spark, norms):
     assert hits / (20 * 150) >= 0.93
 
 
+def test_neighbours_ties(spark):
+    """All inner products are 1: the smallest ids win, beyond any number of candidates that a block could keep."""
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1000)], "id long, v array<double>")
+    for more in ({"window": 1.0}, {"window": 1.0, "block": 64, "tile": 1}):
+        got = neighbours.nearest(df, df.where("id = 0"), 20, **more).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {1.0}
+
+
+def test_neighbours_of_clusters(spark):
+    """Recall by brute force, and a window that is far from all ranks where there is structure; tiles change nothing."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((100, 64))
+    x = np.repeat(centres, 40, 0) + 0.2 * rng.standard_normal((4000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    seen = []
+    plain = neighbours.measured_window
+    neighbours.measured_window = lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1]
+    try:
+        got = neighbours.nearest(df, df.where("id % 20 = 0"), 20).toPandas()
+        tiled = neighbours.nearest(df, df.where("id % 20 = 0"), 20, block=256, tile=8, window=seen[0]).toPandas()
+    finally:
+        neighbours.measured_window = plain
+    assert seen[0] < 0.01
+    hits = 0
+    for q, found in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += (found["score"] >= np.sort(s)[-20] - 1e-9).sum()
+    assert hits / (20 * 200) >= 0.9
+    by = ["query_id", "rank"]
+    assert got.sort_values(by).reset_index(drop=True).equals(tiled.sort_values(by).reset_index(drop=True))
+
+
 def test_rollup(spark, tmp_path):
     df = spark.createDataFrame([("a", "en", 3, 4), ("a", "en", 5, 6), (None, None, None, 1)], "source string, lang string, n long, m long")
     r = rollup.Rollup(spark, "file://" + str(tmp_path / "r"))
