@@ -10,9 +10,14 @@ one-shingle sets, which tell such documents apart:
 3. Voronoi regions of the one-shingle pivots: a node is at distance 1 - 1/|X| from the pivots that it contains and at 1 from all others; ties go
    to the rarest. A node that is within e of another one shares with it one of its floor(e|X|) + 1 rarest shingles (at most e|X| of its shingles
    are not the other's), so it is replicated to those regions and no further. That window is exact. Overlapping regions join to larger ones.
-4. Within a region, documents are the pivots: the ball of a pivot is linked to it; a node y outside can link to a node x inside only if
-   d(y, p) <= 2e and |d(x, p) - d(y, p)| <= e, and those windows are all that is compared. What lies outside the ball goes on with a pivot of its own.
-5. A region with too much in it for one task is first cut by the ball of its most central node, and what remains is compared block by block, blocks
+4. Regions are joined recursively, with documents as pivots, in one of two ways. A region that fits a task: the ball of a pivot is linked to it; a node y
+   outside can link to a node x inside only if d(y, p) <= 2e and |d(x, p) - d(y, p)| <= e, and those windows are all that is compared; what lies outside
+   the ball goes on with a pivot of its own.
+   A larger region is divided by PIVOTS pivots over the cluster: a node's home is the Voronoi region of its nearest pivot, at distance m. If d(x, y) <= e and m(x) <= NEAR, then
+   y is at most m(x) + e from x's home p, so that d(y, p) <= min(m(y) + 2e, NEAR + e): a node is replicated to all regions within that window. Links of nodes
+   with m(x) > NEAR are looked for among all nodes with m > NEAR - e, a region of its own. Each of these regions is joined recursively in its turn.
+5. A region that pivots do not divide (its parts together have over GROWTH times its nodes, or one has over SHRINK of them: its nodes are all about as far from each other)
+   is cut by the ball of its most central node, and what remains is compared block by block, blocks
    being ordered by set size, another window: sizes of linked sets differ by no more than the threshold. Each pair of blocks is a task.
 
 Links inside one group that is known to be connected are not looked for, as only the groups are asked. All comparisons are of whole numbers.
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetloom.llm.common import cut, dropped, free_name, small_batches, table
@@ -41,6 +46,10 @@ TASK = 200_000_000
 BROADCAST_IDS = 2_000_000
 BROADCAST_LABELS = 500_000
 SALT = 64
+#: Pivots of one division, the distance up to which a node has a home, and when a region counts as not divided.
+PIVOTS, NEAR, GROWTH, SHRINK = 16, 0.5, 2.0, 0.8
+#: Shingles that one task compares with the pivots.
+PART = 4_000_000
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -143,7 +152,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = next_.select("v", "root")
         if not changed:
             return labels
-    raise RuntimeError(f"links did not settle in {most} rounds")
+    raise RuntimeError(f"links did not settle in {most} rounds")  # pointer jumping halves paths: 60 rounds are enough for any number of nodes that has 60 bits
 
 
 class _Groups:
@@ -234,8 +243,8 @@ def connected(nodes: DataFrame, regions: DataFrame, central: DataFrame, percent:
     placed = nodes.join(regions, F.col("sid") == F.col("v")).join(central.withColumnRenamed("sid", "sid__"), F.col("sid") == F.col("sid__"), "left")
     placed = cut(placed.select(F.col("root").alias("region"), "sid", "n", "s", F.coalesce("central", F.lit(0.0)).alias("central"), F.lit(-1).alias("known")), "placed")
     size = placed.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max(F.struct("central", "sid")).alias("p"))
-    size = cut(size.select(F.col("region").alias("r__"), "m", "total", F.col("p.sid").alias("pivot")), "regions")
-    large = size.where((F.col("m") * F.col("total")) > task)
+    size = cut(size.select(F.col("region").alias("r__"), "m", "total", F.col("p.sid").alias("pivot")), "regions")  # pivot: the most central node
+    large = size.where(_work() > task)
     n = large.limit(BROADCAST_LABELS + 1).count()
     if not n:
         return placed.groupBy("region").applyInPandas(_joined(percent), EDGE).select(F.col("a").alias("v"), F.col("b").alias("root"))
@@ -243,7 +252,86 @@ def connected(nodes: DataFrame, regions: DataFrame, central: DataFrame, percent:
     large = F.broadcast(large) if n <= BROADCAST_LABELS else large
     small = placed.join(large.select("r__"), F.col("region") == F.col("r__"), "left_anti")
     out = small.groupBy("region").applyInPandas(_joined(percent), EDGE).select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return out.unionByName(components(cut(_large(placed, large, percent, task), "links")))
+    return out.unionByName(components(cut(_divided(placed, large, percent, task), "links")))
+
+
+def _work() -> Column:
+    return F.col("m").cast("double") * F.col("total")
+
+
+def _nearest(percent: int):
+    """Of the nodes of a part of a region and its pivots: a row for each region that a node belongs to. pivot: null where it is the one of nodes far from all."""
+    e = (100 - percent) / 100 + 1e-9
+
+    def run(key, nodes: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        size = nodes["n"].to_numpy()
+        flat = np.concatenate([np.asarray(x, np.int64) for x in nodes["s"]]) if len(nodes) else np.zeros(0, np.int64)
+        begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        d, ball = np.ones((len(nodes), len(pivots))), np.zeros((len(nodes), len(pivots)), bool)
+        for j, ps in enumerate(pivots["s"] if len(nodes) else []):
+            own = np.sort(np.asarray(ps, np.int64))
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.add.reduceat((own[at] == flat).astype(np.int64), begin)
+            union = size + len(own) - common
+            d[:, j], ball[:, j] = 1 - common / union, 100 * common >= percent * union
+        least = d.min(1) if len(pivots) else np.ones(len(nodes))
+        inside = ball | (d <= np.minimum(least + 2 * e, NEAR + e)[:, None])
+        far = least > NEAR - e
+        row, col = np.nonzero(np.c_[inside, far])
+        home = np.r_[pivots["sid"].to_numpy(np.int64), 0][col]
+        out = nodes.iloc[row][["region", "sid", "n", "s", "central"]].reset_index(drop=True)
+        last = col == len(pivots)
+        out["pivot"] = pd.Series(home, dtype="Int64").mask(last)
+        out["ball"] = np.where(last, False, np.c_[ball, np.zeros(len(nodes), bool)][row, col])
+        return out
+
+    return run
+
+
+def _divided(placed: DataFrame, large: DataFrame, percent: int, task: int) -> DataFrame:
+    """Steps 4 and 5 for regions (r__, m, total, pivot) that no task can join: links (a, b) that connect their groups. Each round is written."""
+    found, rounds = [], 0
+    columns = ["region", "sid", "n", "s", "central"]
+    schema = "region long, sid long, n long, s array<long>, central double, pivot long, ball boolean"
+    while True:
+        rounds += 1
+        at = placed.join(F.broadcast(large) if large.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else large, F.col("region") == F.col("r__"))
+        parts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(PART))).cast("int")
+        at = cut(at.select(*columns, parts.alias("parts"), F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part")), "divided")
+        # As pivots the first by a hash, another one each round; the limit stands below the shuffle.
+        order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(rounds), "sid"), "sid")
+        pivots = at.withColumn("n__", F.row_number().over(order)).where(F.col("n__") <= PIVOTS).select("region", "sid", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        children = cut(at.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInPandas(_nearest(percent), schema), "children")
+        found.append(children.where("ball").select(F.col("sid").alias("a"), F.col("pivot").alias("b")))
+        size = children.groupBy("region", "pivot").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max(F.struct("central", "sid")).alias("p"))
+        own = Window.partitionBy("region")
+        size = size.join(large.select(F.col("r__"), F.col("m").alias("before")), F.col("region") == F.col("r__")).withColumn("all", F.sum("m").over(own))
+        # A region that its pivots leave whole, or spread over too many of their regions, is compared as it is; so is a part that stays too large.
+        size = size.withColumn("whole", F.col("all") > GROWTH * F.col("before")).withColumn("child", F.xxhash64("region", "pivot"))
+        size = cut(size.select("region", "pivot", "child", "m", "total", "before", "whole", F.col("p.sid").alias("central_sid")), "parts")
+        whole = large.join(size.where("whole").select(F.col("region").alias("w__")).distinct(), F.col("r__") == F.col("w__"), "left_semi")
+        if whole.limit(1).count():
+            found.append(_large(at.select(*columns), whole, percent, task))
+        kept = size.where("not whole and m > 1").select(F.col("region").alias("r__"), F.col("pivot").alias("p__"), "child", "m", "total", "before", "central_sid")
+        named = children.join(kept, (F.col("region") == F.col("r__")) & F.col("pivot").eqNullSafe(F.col("p__")))
+        fits = named.where(_work() <= task).select(F.col("child").alias("region"), "sid", "n", "s", "central", F.when(F.col("ball"), F.lit(0)).otherwise(F.lit(-1)).alias("known"))
+        found.append(fits.groupBy("region").applyInPandas(_joined(percent), EDGE))
+        # A part whose nodes all lie in its pivot's ball is joined already.
+        open_ = kept.where(_work() > task).select(F.col("child").alias("r__"), "m", "total", F.col("central_sid").alias("pivot"), "before")
+        loose = children.where("not ball").select(F.xxhash64("region", "pivot").alias("o__")).distinct()
+        open_ = cut(open_.join(loose, F.col("r__") == F.col("o__"), "left_semi"), "open")
+        over = named.where(_work() > task).select(F.col("child").alias("region"), "sid", "n", "s", "central")
+        stuck = open_.where(F.col("m") > SHRINK * F.col("before")).drop("before")
+        if stuck.limit(1).count():
+            found.append(_large(over, stuck, percent, task))
+        large = open_.where(F.col("m") <= SHRINK * F.col("before")).drop("before")
+        if not large.limit(1).count():
+            break
+        placed = over
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _large(placed: DataFrame, size: DataFrame, percent: int, task: int) -> DataFrame:

@@ -193,6 +193,52 @@ def test_groups_are_brute_force_s(spark, k, percent, task):
     assert jaccard.groups(df.limit(0), k, percent).count() == 0
 
 
+def test_large_regions_are_divided(spark, monkeypatch):
+    """One region that boilerplate holds together, with copies of several texts and many texts of their own, over several rounds and parts."""
+    monkeypatch.setattr(jaccard, "PART", 3_000)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    calls, plain = [], jaccard._nearest
+    monkeypatch.setattr(jaccard, "_nearest", lambda percent: calls.append(1) or plain(percent))
+    rng = random.Random(11)
+    boilerplate = [f"b{i}" for i in range(40)]
+    rows = []
+    for size in (60, 40, 25, 12, 5, 5, 4, 3, 3, 2, *[1] * 30):
+        own = [f"w{rng.randrange(100_000)}" for _ in range(12)]
+        for _ in range(size):
+            words = boilerplate + own
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(40, len(words))] = f"x{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], DOCS)
+    assert sorted(map(tuple, jaccard.groups(df, 4, 85, task=30_000).collect()), key=repr) == brute_groups(rows, 4, 85)
+    assert calls
+
+
+def test_voronoi_windows_lose_no_link(monkeypatch):
+    """Every link between two nodes is inside one of the regions, or follows from the balls."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for percent in (80, 85):
+        bases = [rng.choice(400, 40, replace=False) for _ in range(6)]
+        own = []
+        for _ in range(150):
+            b = set(bases[rng.integers(6)].tolist())
+            for x in rng.choice(sorted(b), rng.integers(0, 8), replace=False):
+                b.remove(int(x))
+            own.append(np.array(sorted(b | set(rng.integers(400, 440, rng.integers(0, 6)).tolist())), np.int64))
+        nodes = pd.DataFrame({"region": 7, "sid": np.arange(150), "n": [len(x) for x in own], "s": own, "central": 0.0})
+        got = jaccard._nearest(percent)(None, nodes, nodes.iloc[:5][["region", "sid", "s"]])
+        members = got.groupby(got["pivot"].fillna(-1))["sid"].agg(set)
+        for i in range(150):
+            for j in range(i):
+                both = len(set(own[i].tolist()) & set(own[j].tolist()))
+                if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+                    assert any({i, j} <= m for m in members)
+        alone = jaccard._nearest(percent)(None, nodes.iloc[:0], nodes.iloc[:5][["region", "sid", "s"]])
+        assert not len(alone)
+
+
 def test_groups_stage(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, long + " x", "b"), (3, "other text", None), (None, long, "c"), (4, "", "d"), (4, "", "d"), (5, "other text", "e")], "doc_id long, text string, gone string")
