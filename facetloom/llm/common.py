@@ -73,6 +73,11 @@ def hashed_share(key: str, rows: int, of: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("share"), F.col(key)), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by name, which may hold dots or back quotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, with underscores appended until no column of df has it, letter case aside."""
     taken = {c.lower() for c in df.columns}

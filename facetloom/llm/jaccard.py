@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import cut, dropped, free_name, small_batches, table
+from facetloom.llm.common import columns, cut, dropped, free_name, small_batches, table
 from facetloom.llm.wordhash import rolled, word_hashes
 
 #: Nodes times shingles that one task may compare.
@@ -421,5 +421,5 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Only rows that are repeated are compared, so that texts do not travel for the others.
     same = kept["doc_id"].eqNullSafe(F.col(name)) & (F.xxhash64(kept["text"]) == F.col(text_name))
     place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy("doc_id"))
-    once = kept.join(again, same, "left_semi").withColumn(name, place).where(F.col(name) == 1).select(*docs.columns)
+    once = kept.join(again, same, "left_semi").withColumn(name, place).where(F.col(name) == 1).select(*columns(docs))
     return kept.join(again, same, "left_anti").unionByName(once)

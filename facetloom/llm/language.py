@@ -2,13 +2,16 @@
 
 Letters are lower-cased, runs of anything else become one gap, and all windows of 1 to 4 characters without an inner gap
 are hashed into a table of embeddings. A text's vector is the mean over its windows, a linear layer and a softmax
-follow; both are trained by stochastic gradient descent in numpy on pieces of labelled texts, long and short. A
+follow; both are trained by stochastic gradient descent in numpy, a few samples at a time, on pieces of labelled texts, long and short; each
+language gives a bounded number of texts, so that rare ones are learned too. A
 temperature is then fitted on texts kept aside, and a text is rejected when its probability falls below nearly all
 that were right there. Since the mean is linear, a window contributes one row of (embeddings x layer) to the
-logits: scoring gathers rows of that small table, for whole texts.
+logits: scoring counts a text's windows by bucket and multiplies the counts by that small table. Whole texts count: a long one is
+taken in chunks that overlap by what windows reach over, so that each window is met once.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; with no labelled text every
-text is `und` with score 0 and none but those is rejected; with one language learned its score is 1. Repeated rows get equal results.
+text is `und` with score 0 and none but those is rejected; with one language learned its score is 1. Repeated rows get equal results; an empty
+table gives no rows. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, hashed_share, held_out, small_batches, table
+from facetloom.llm.common import columns, free_name, held_out, small_batches, table
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
 #: Characters that are taken at once.
 CHUNK = 1 << 20
+#: Samples of one step of the descent.
+STEP = 4
 
 
 @dataclass(frozen=True)
@@ -52,26 +57,45 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _windows(text: str, buckets: int) -> np.ndarray:
-    """The buckets of all windows of a text, gaps at its ends included."""
+def _codes(text: str) -> np.ndarray:
+    """Lower-cased letters by code point; each run of anything else, and either end, is one 0."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     code = np.where(_letters()[code], code, 0).astype(np.uint64)
     code = np.concatenate([np.zeros(1, np.uint64), code, np.zeros(1, np.uint64)])
-    code = code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]]
+    return code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]]
+
+
+def _windows(code: np.ndarray, buckets: int, least: int = 0) -> np.ndarray:
+    """The buckets (their number is a power of 2) of all windows of codes that end at place `least` or behind it."""
     out = []
     for n in SIZES:
-        if len(code) < n:
+        first = max(0, least - n + 1)
+        if len(code) - first < n:
             continue
-        h = np.full(len(code) - n + 1, n, np.uint64)
+        h = np.full(len(code) - first - n + 1, n, np.uint64)
         inner = np.ones(len(h), bool)
         for i in range(n):
-            c = code[i : i + len(h)]
+            c = code[first + i : first + i + len(h)]
             h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             if 0 < i < n - 1 or n == 1:
                 inner &= c != 0
-        out.append((h[inner] >> np.uint64(17)) % np.uint64(buckets))
-    return np.concatenate(out).astype(np.int64)
+        out.append((h[inner] >> np.uint64(17)) & np.uint64(buckets - 1))
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's windows and how often each occurs."""
+    code = _codes(text)
+    if len(code) <= CHUNK:
+        return np.unique(_windows(code, buckets), return_counts=True)
+    counts = np.zeros(buckets, np.int64)
+    reach = max(SIZES) - 1
+    for start in range(0, len(code), CHUNK):
+        before = min(start, reach)
+        counts += np.bincount(_windows(code[start - before : start + CHUNK], buckets, before), minlength=buckets)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -79,18 +103,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _pieces(text: str, rng: np.random.Generator, several: int) -> list[str]:
-    """The whole text and pieces of 15 to 300 characters from anywhere in it."""
-    out = [text]
-    for _ in range(several):
-        n = int(np.exp(rng.uniform(np.log(15), np.log(300))))
-        at = int(rng.integers(0, max(1, len(text) - n + 1)))
-        out.append(text[at : at + n])
-    return [t for t in out if has_letter(t)]
+def _pieces(text: str, rng: np.random.Generator, several: int, most: int) -> list[str]:
+    """A piece of up to `most` characters and several of 15 to 300, from anywhere in the text."""
+    sizes = [most] + [int(np.exp(rng.uniform(np.log(15), np.log(300)))) for _ in range(several)]
+    starts = [int(rng.integers(0, max(1, len(text) - n + 1))) for n in sizes]
+    return [t for at, n in zip(starts, sizes, strict=True) if has_letter(t := text[at : at + n])]
 
 
-def fit(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epochs: int = 3, rate: float = 0.5, boost: float = 20.0, reject_share: float = 0.001, seed: int = 11) -> LanguageModel:
-    """rows: (text, language). A fifth is kept aside for the temperature and the rejection. boost: times the rate that embeddings learn with, as each has a small share of a mean."""
+def fit(
+    rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epochs: int = 3, rate: float = 0.5, boost: float = 20.0, reject_share: float = 0.001, most: int = 1000, seed: int = 11
+) -> LanguageModel:
+    """rows: (text, language). A fifth is kept aside for the temperature and the rejection. boost: times the rate that embeddings learn with, as each has a small share of a mean. most: characters of the longest piece of a text."""
     rows = [(t, k) for t, k in rows if k is not None and has_letter(t)]
     langs = tuple(sorted({k for _, k in rows}))
     if not langs:
@@ -103,22 +126,25 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epoc
     aside = [r for i, r in enumerate(rows) if i % 5 == 0]
     count = np.bincount([at[k] for _, k in learn], minlength=len(langs))
     weight = np.minimum(4.0, len(learn) / (len(langs) * np.maximum(count, 1)))  # rare languages count for more, within reason
-    samples = [(np.unique(_windows(p, buckets), return_counts=True), at[k]) for t, k in learn for p in _pieces(t, rng, 3)]
+    samples = [(*_counts(p, buckets), at[k]) for t, k in learn for p in _pieces(t, rng, 2, most)]
+    samples = [(ids, n / n.sum(), y) for ids, n, y in samples]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(samples)):
-            (ids, n), y = samples[i]
-            share = n / n.sum()
-            mean = share @ emb[ids]
+        order = rng.permutation(len(samples))
+        for first in range(0, len(order), STEP):
+            some = [samples[i] for i in order[first : first + STEP]]
+            mean = np.stack([share @ emb[ids] for ids, share, _ in some])
+            y = np.array([k for _, _, k in some])
             grad = _softmax(mean @ layer + bias)
-            grad[y] -= 1
-            grad *= weight[y]
-            back = layer @ grad
-            layer -= step * np.outer(mean, grad)
-            bias -= 0.1 * step * grad
-            emb[ids] -= step * boost * np.outer(share, back)
+            grad[np.arange(len(some)), y] -= 1
+            grad *= weight[y][:, None]
+            back = grad @ layer.T
+            layer -= step * mean.T @ grad
+            bias -= 0.1 * step * grad.sum(0)
+            for (ids, share, _), b in zip(some, back, strict=True):
+                emb[ids] -= step * boost * np.outer(share, b)
     table_ = (emb @ layer).astype(np.float32)
-    scored = [(table_[_windows(p, buckets)].mean(0) + bias, at[k]) for t, k in aside for p in _pieces(t, rng, 1)]
+    scored = [(_logits(p, table_, bias), at[k]) for t, k in aside for p in _pieces(t, rng, 1, len(t))]
     temperature, reject = 1.0, 0.0
     if scored and len(langs) > 1:
         z, y = np.array([s for s, _ in scored]), np.array([k for _, k in scored])
@@ -132,19 +158,18 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 12, epoc
     return LanguageModel(langs, table_, bias, temperature, reject)
 
 
+def _logits(text: str, table_: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    ids, n = _counts(text, len(table_))
+    return n @ table_[ids].astype(np.float64) / max(int(n.sum()), 1) + bias
+
+
 def _scores(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
     names, probs = [], np.zeros(len(texts))
     for i, text in enumerate(texts):
         if not model.langs or not has_letter(text):
             names.append(UNKNOWN)
             continue
-        total, n = np.zeros(len(model.langs)), 0
-        # The few windows across the border of two chunks do not count.
-        for start in range(0, len(text), CHUNK):
-            ids = _windows(text[start : start + CHUNK], len(model.logits))
-            total += model.logits[ids].sum(0, dtype=np.float64)
-            n += len(ids)
-        p = _softmax((total / max(n, 1) + model.bias) / model.temperature)
+        p = _softmax(_logits(text, model.logits, model.bias) / model.temperature)
         names.append(model.langs[int(p.argmax())])
         probs[i] = p.max()
     return names, probs
@@ -166,10 +191,24 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str =
     return df.withColumn(out, named(F.col(text)))
 
 
-def labelled(documents: DataFrame, rows: int = 6000, max_chars: int = 20_000) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts, the first by a hash of the id; rows of more than max_chars characters are not learned from (they are scored)."""
-    df = documents.where(hashed_share("doc_id", rows, documents.count()) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    got = df.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang").toPandas()
+def labelled(documents: DataFrame, rows_per_lang: int = 1000, max_chars: int = 20_000, most_langs: int = 1000) -> list[tuple[str, str]]:
+    """A bounded sample of labelled texts: of each language rows_per_lang, the first by a hash of the id; of a longer text a piece of max_chars characters from anywhere in it.
+
+    Counts are of the rows that may be learned from, so that no language is missed because others are commoner. Of more than most_langs names the commonest are learned.
+    """
+    own = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not counts:
+        return []
+    # About twice as many as are asked for, by a hash, before anything is ordered: what is shuffled is small.
+    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * rows_per_lang / r["n"])) for r in counts], "l__ string, share double")
+    h = F.xxhash64("doc_id")
+    picked = own.join(F.broadcast(shares), F.col("lang") == F.col("l__")).where(F.pmod(F.xxhash64(F.lit("share"), "doc_id"), F.lit(1 << 30)) <= (F.col("share") * (1 << 30)).cast("long"))
+    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
+    picked = picked.select("lang", "doc_id", h.alias("h"), F.substring("text", F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), room.cast("long")).cast("int") + 1, F.lit(max_chars)).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
+    got = picked.withColumn("n", place).where(F.col("n") <= rows_per_lang).select("text", "lang", "h", "doc_id").toPandas()
+    got = got.sort_values(["h", "doc_id", "lang", "text"], kind="stable")
     return list(zip(got["text"], got["lang"], strict=True))
 
 
@@ -189,4 +228,4 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is known well enough, with their columns."""
     model = train(docs)
     name = free_name(docs, "lang_id")
-    return identify(docs, model, out=name).where(~F.col(f"{name}.rejected")).select(*docs.columns)
+    return identify(docs, model, out=name).where(~F.col(f"{name}.rejected")).select(*columns(docs))

@@ -7,8 +7,8 @@ its least good quarter of blocks and the normalised size of its most compressibl
 logistic curve that is fitted on labelled texts from which no dictionary was made: the calibrated score.
 
 Defined results: null and empty texts have one empty block and get the score that follows from it; repeated rows get
-equal scores; with no labelled rows, or one class only, every score is that class's smoothed share. Extra columns do not matter:
-the score is one new column.
+equal scores; with no labelled rows, or one class only, every score is that class's smoothed share; an empty table gives no rows. Extra columns, whatever
+their names, do not matter: the score is one new column, and keep() returns the columns that came. A null label or id teaches nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import free_name, hashed_share, held_out, small_batches, table
+from facetloom.llm.common import columns, free_name, hashed_share, held_out, small_batches, table
 
 THRESHOLD = 0.3
 
@@ -165,4 +165,4 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     model = train(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "quality_score")
-    return score(docs, model, out=name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+    return score(docs, model, out=name).where(F.col(name) >= THRESHOLD).select(*columns(docs))
