@@ -1,6 +1,12 @@
 """Mixing, WARC, neighbours, roll-ups and the pipeline."""
 
+import gzip
+import html
+import html.entities
+import html.parser
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
@@ -51,8 +57,8 @@ def test_targets_reshare(spark):
 
 
 def test_warc(spark, tmp_path):
-    html = '<html><head><title>A &amp; B</title><style>p{}</style></head><body><p>x<br>y</p><script>"</p>"</script><a href="/l">link</a> &lt;z&gt;</body></html>'
-    pages = spark.createDataFrame([(1, "http://h/", html, "k"), (2, None, None, "k"), (2, None, None, "k"), (None, "u", "é" * 200_000, "k")], "page_id long, url string, html string, block string")
+    page = '<html><head><title>A &amp; B</title><style>p{}</style></head><body><p>x<br>y</p><script>"</p>"</script><a href="/l">link</a> &lt;z&gt;</body></html>'
+    pages = spark.createDataFrame([(1, "http://h/", page, "k"), (2, None, None, "k"), (2, None, None, "k"), (None, "u", "é" * 200_000, "k")], "page_id long, url string, html string, block string")
     found = warc.derivatives(warc.responses(pages))
     got = {(r["key"], r["record_type"]): r for r in found.collect()}
     assert found.count() == 8 and got[1, "conversion"]["block"] == "A & B\nx\ny\nlink <z>"
@@ -69,6 +75,87 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+class Plain(html.parser.HTMLParser):
+    """Text, title and links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.in_title, self.title, self.links, self.out = 0, False, None, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        if tag == "title":
+            self.in_title = True
+        if tag == "a":
+            self.links += [v or "" for k, v in attrs if k == "href"][:1]
+        if re.fullmatch(warc.BLOCK, f"<{tag}>".replace('"', "")):
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden -= 1
+        if tag == "title":
+            self.in_title = False
+        if re.fullmatch(warc.BLOCK, f"</{tag}>"):
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            data = re.sub(r"[ \t\r\n\f]+", " ", data)
+            self.out.append(data)
+            if self.in_title:
+                self.title = (self.title or "") + data
+
+
+def plain_page(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    text = re.sub(" +", " ", "".join(p.out).replace("\u00a0", " "))
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n"), (p.title or "").strip(" "), p.links
+
+
+def test_warc_pages_against_a_parser():
+    rng = random.Random(6)
+    bits = [
+        "<p>", "</p>", "<br/>", "<div class='a > b'>", "</div>", "word ", "A &amp; B", "&copy;", "&#8212;", "&#x41;", "&eacute;", "&bogus;", " < ", " a > b ", "\n", "  ", "<b>", "</b>", "<!-- no <p> &amp; -->",
+        '<a href="/x?a=1&amp;b=2">', "<a href='/y'>", "<a\nhref=/z>", '<a title="href=q" HREF = "/w">', "<a name=n>", "</a>", "<script>if (a < b) {'<p>'}</script>", "<style>p{}</style>", "&nbsp;", "&lt;i&gt;", "é字",
+    ]
+    for _ in range(400):
+        page = "<html><head><title>T &amp; " + rng.choice(["x", "é", "&hellip;"]) + "</title></head><body>" + "".join(rng.choices(bits, k=rng.randint(0, 30))) + "</body></html>"
+        title, links, text = warc.parse(page)
+        assert (text, title, links) == plain_page(page), page
+    names = list(html.entities.html5)
+    assert all(warc._decoded(f"a&{n}b") == html.unescape(f"a&{n}b") for n in names if n.endswith(";"))
+    assert all(warc._decoded(f"&#{i};") == html.unescape(f"&#{i};") and warc._decoded(f"&#x{i:x};") == html.unescape(f"&#x{i:x};") for i in [*range(300), 0xD800, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000])
+
+
+def test_warc_takes_time_in_proportion():
+    for page in ("<" * 10**6, "<a " * 300_000, "<!--" * 200_000, "<script>" * 100_000, "&" * 10**6, "<i> </i>" * 100_000, '<a href="' * 100_000, "<title>" * 100_000, " \n" * 400_000):
+        start = time.monotonic()
+        warc.parse(page)
+        assert time.monotonic() - start < 20, page[:10]
+    assert warc.parse("a < b and c > d <")[2] == "a < b and c > d <" and warc.parse("x<!-- y")[2] == "x" == warc.parse("x<script>y")[2]
+
+
+def test_warc_odd_records(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/\r\nContent-Length: 3\r\n", "<p>one</p>"), (1, "u", "<p>a</p>"), (1, "u", "<p>b</p>")], "page_id long, url string, html string")
+    found = warc.derivatives(warc.responses(pages))
+    assert found.select("record_id").distinct().count() == 6
+    warc.write(found.coalesce(1), str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w")).collect()
+    assert len(back) == 6 and {bytes(r["block"]).decode() for r in back if r["headers"]["warc-type"] == "conversion"} == {"one", "a", "b"}
+    assert "http://h/%0D%0AContent-Length: 3%0D%0A" in {r["headers"]["warc-target-uri"] for r in back}
+    raw = next((tmp_path / "w").glob("part-*")).read_bytes()
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "a.warc.gz").write_bytes(gzip.compress(raw[:400]) + gzip.compress(raw[400:]))
+    assert sorted(bytes(r["block"]) for r in warc.read(spark, str(tmp_path / "z")).collect()) == sorted(bytes(r["block"]) for r in back)
+    odd = b"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: x\r\n\r\nfirst\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\ntwo\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\nWARC/1.0\r\nContent-Length: 99\r\n\r\ncut"
+    assert [b for _, _, b in warc.records_of(odd)] == [b"first", b"two", b"", b"cut"]
+    assert list(warc.records_of(b"")) == [] == list(warc.records_of(b"no record"))
+
+
 def test_warc_of_null_fields(spark):
     records = spark.createDataFrame([(1, None, None, "d", None, "<p>x</p>")], "key long, record_id string, target_uri string, date string, headers string, payload string")
     found = warc.derivatives(records)
