@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a fixed 60-bit hash of its id. A source whose target is r times its size takes each of its documents
+Every document has a fixed 60-bit hash of its id and text. A source whose target is r times its size takes each of its documents
 floor(r) times, and once more those whose hash lies below a threshold. The thresholds come from histograms: sizes are
 summed by source and hash bucket, a running sum over the buckets of a source finds the one in which its budget ends,
 and only the rows of that boundary bucket are summed again with finer buckets, until all 60 bits are used. Budgets of a
@@ -8,9 +8,9 @@ source are nested: a larger one has a higher threshold on the same hashes. No ro
 for each source and bucket meets in a task. The last bucket, which holds one document, is taken when that comes nearer to
 the target.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; rows with equal doc_id
-share one hash and are taken or left together; a null doc_id hashes as the empty text; a source of size 0 has target 0; an empty table gives no
-rows. Extra columns are kept by mix() and do not matter.
+Defined results: null text has size 0; a null source is a source of its own, last in order; rows of one doc_id and text
+share one hash and are taken or left together, those of one id (or of null ids) with other texts are not; null id and null text hash as empty ones; a source of
+size 0 has target 0; an empty table gives no rows. Extra columns, whatever their names, are kept by mix() and do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetloom.llm.common import cut, table
+from facetloom.llm.common import columns, cut, free_name, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL_BITS = 60, 12
@@ -31,9 +31,10 @@ def words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash60(doc_id: str) -> Column:
-    """The first 60 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash60(doc_id: str, text: str = "text") -> Column:
+    """The first 60 bits of the MD5 of id and text."""
+    both = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weight: Column, rounds: int = 64) -> DataFrame:
@@ -126,7 +127,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         ('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(cast(doc_id AS varchar), '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS z, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source),
 -- the level: in the order in which sources fill, the first at which the next one does not
 f AS (SELECT *, coalesce(sum(3 * z) OVER (ORDER BY 3 * z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
@@ -144,8 +145,9 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN k ON k.source
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents, with their columns: each row as often as the mix takes it."""
-    _, limits = plan(docs, words("text"))
-    limits = limits.select(*(F.col(c).alias(f"{c}__mix") for c in limits.columns))
-    times = F.col("whole__mix") + (hash60("doc_id") < F.col("limit__mix")).cast("long")
-    joined = docs.join(limits, F.col("source").eqNullSafe(F.col("source__mix"))).where(times > 0)
-    return joined.withColumn("n__mix", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    _, limits = plan(docs.select("doc_id", "source", "text"), words("text"))
+    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "whole", "limit", "copy")}
+    limits = limits.select(*(F.col(c).alias(names[c]) for c in ("source", "whole", "limit")))
+    times = F.col(names["whole"]) + (hash60("doc_id") < F.col(names["limit"])).cast("long")
+    joined = docs.join(limits, docs["source"].eqNullSafe(F.col(names["source"]))).where(times > 0)
+    return joined.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*columns(docs))

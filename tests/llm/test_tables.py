@@ -50,6 +50,24 @@ def test_mix(spark, tmp_path):
     assert mixing.mix(spark, df.limit(0), "").count() == 0
 
 
+def test_mix_of_null_ids_and_odd_columns(spark):
+    """A source of null ids only, another of one id only, columns with names that the operator uses, dots and back quotes."""
+    rng = random.Random(3)
+    rows = [(None, " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(1, 30))), "b") for _ in range(400)] + [(7, " ".join(f"v{rng.randrange(9999)}" for _ in range(rng.randint(1, 30))), "c") for _ in range(400)]
+    rows += [(i, "x y z", "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("n__mix", "source__mix", "mix_source", "limit", "h", "a.b", "back`quote", "times__"):
+        df = df.withColumn(c, F.lit(5))
+    size = F.sum(mixing.words("text")).alias("n")
+    slim, limits = mixing.plan(df, mixing.words("text"))
+    targets = {r["source"]: r["target"] for r in limits.collect()}
+    out = mixing.mix(spark, df, "")
+    assert out.columns == df.columns and all(r == (5,) * 8 for r in out.drop("doc_id", "text", "source").distinct().collect())
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(size).collect()}
+    assert all(abs(taken[k] - targets[k]) <= 30 for k in "abc")
+    assert mixing.mix(spark, df.limit(0), "").columns == df.columns
+
+
 def test_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 2.0), ("c", 0, 1.0)], "source string, source_size long, weight double")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes, F.col("weight")).collect()}
