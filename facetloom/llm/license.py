@@ -2,12 +2,12 @@
 
 Templates and documents become rolling word k-grams. Every k-gram of every document is joined, by its hash, to the
 template positions that have it; a hit votes for the diagonal, that is the place at which the template would start. Votes
-of a diagonal are summed as a bit mask of template positions, so that repeated rows change nothing. Neighbouring
+of a diagonal are summed as bit masks of template positions, one for each SLOT positions, so that repeated rows change nothing and templates may have any length. Neighbouring
 diagonals of one template, which a word put in or left out makes, merge into a span. A span counts if the
 positions that it covers make up enough of the template; a base phrase needs all of them on a single diagonal, which are then
 its words one after another.
 
-A second hash of each k-gram has to agree as well, so that a hit is the template's words with 128 bits of certainty.
+A second hash of each k-gram has to agree as well, so that a hit is the template's words with 96 bits of certainty.
 
 Defined results: a null text has no word; a document without a span has 0 places, null positions, empty labels and
 score 0; repeated rows get equal results; extra columns do not matter.
@@ -24,6 +24,8 @@ from facetloom.llm.common import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
+#: Template positions in one mask.
+SLOT = 63
 
 
 @dataclass(frozen=True)
@@ -70,15 +72,15 @@ def template_rows(spark: SparkSession, templates: tuple[Template, ...]) -> DataF
     """tid, label, base, share, grams (their number), tpos, h, c."""
     rows = [(i, t.label, t.base, t.share, t.words.split()) for i, t in enumerate(templates)]
     for _, label, _, _, ws in rows:
-        if not K <= len(ws) <= 63:
-            raise ValueError(f"a template of {label} has {len(ws)} words; {K} to 63 fit a mask")
+        if len(ws) < K:
+            raise ValueError(f"a template of {label} has {len(ws)} words; a k-gram has {K}")
     df = spark.createDataFrame(rows, "tid int, label string, base boolean, share double, ws array<string>")
     df = df.withColumn("grams", F.size("ws") - (K - 1))
     return df.select("tid", "label", "base", "share", "grams", F.posexplode(_grams(F.col("ws"))).alias("tpos", "g")).select("tid", "label", "base", "share", "grams", "tpos", "g.h", "g.c")
 
 
 def _votes(docs: DataFrame, templates: tuple[Template, ...], broadcast_rows: int) -> DataFrame:
-    """By document (doc_id, text_hash, n_words), template and diagonal: the mask of its votes, where they start and how many there are.
+    """By document (doc_id, text_hash, n_words), template, diagonal and slot: the mask of its votes, where they start and how many there are.
 
     Every document begins with one gram that no words make and that meets a template of its own (tid -1), so that
     documents without a hit stay and the text is read and cut into words once; its votes are the rows that are alike.
@@ -93,7 +95,8 @@ def _votes(docs: DataFrame, templates: tuple[Template, ...], broadcast_rows: int
     grams = own.select("doc_id", "text_hash", F.size("ws").cast("long").alias("n_words"), F.posexplode(F.concat(first, _grams(F.col("ws")))).alias("pos", "g"))
     grams = grams.select("doc_id", "text_hash", "n_words", (F.col("pos") - 1).alias("pos"), F.col("g.h").alias("gh"), F.col("g.c").alias("gc"))
     hits = grams.join(rows, (F.col("gh") == F.col("h")) & F.col("gc").eqNullSafe(F.col("c")))
-    return hits.groupBy(*KEY, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"), F.min("pos").alias("start"), F.count("*").alias("votes"))
+    slot = F.floor(F.col("tpos") / SLOT).cast("int").alias("slot")
+    return hits.groupBy(*KEY, (F.col("pos") - F.col("tpos")).alias("diagonal"), slot).agg(F.bit_or(F.expr(f"shiftleft(1L, tpos % {SLOT})")).alias("mask"), F.min("pos").alias("start"), F.count("*").alias("votes"))
 
 
 KEY = ["doc_id", "text_hash", "n_words", "tid", "label", "base", "share", "grams"]
@@ -107,11 +110,13 @@ def spans(docs: DataFrame, templates: tuple[Template, ...], near: int = 3, broad
     """
     votes = _votes(docs, templates, broadcast_rows)
     # A run of diagonals of one template and document, each near the one before it, is one span; a base phrase has one diagonal.
-    w = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diagonal")
-    gap = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > near, F.lit(True))
+    w = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diagonal", "slot")
+    step = F.col("diagonal") - F.lag("diagonal").over(w)
+    gap = F.coalesce(step > F.when(F.col("base"), 0).otherwise(near), F.lit(True))
     merged = votes.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(w))
-    merged = merged.groupBy(*KEY, "run").agg(F.bit_or("mask").alias("mask"), F.min(F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("start"))).cast("long").alias("start"), F.min("votes").alias("rows"))
-    merged = merged.withColumn("covered", F.bit_count("mask") / F.col("grams"))
+    merged = merged.groupBy(*KEY, "run", "slot").agg(F.bit_or("mask").alias("mask"), F.min(F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("start"))).cast("long").alias("start"), F.min("votes").alias("rows"))
+    merged = merged.groupBy(*KEY, "run").agg(F.sum(F.bit_count("mask")).alias("hit"), F.min("start").alias("start"), F.min("rows").alias("rows"))
+    merged = merged.withColumn("covered", F.col("hit") / F.col("grams"))
     return merged.where((F.col("tid") < 0) | (F.col("covered") >= F.when(F.col("base"), 1.0).otherwise(F.col("share")))).select(*DOC, "tid", "label", "base", "start", "covered", "rows")
 
 

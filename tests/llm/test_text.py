@@ -294,6 +294,20 @@ def test_licenses(spark):
         license.template_rows(spark, (license.Template("x", "one"),))
 
 
+def test_long_licenses(spark):
+    """A template of 200 words, whole, with words put in and left out, and in part; a base phrase of 80 words."""
+    rng = random.Random(7)
+    long = [f"t{rng.randrange(150)}" for _ in range(200)]
+    templates = (license.Template("long", " ".join(long)), license.Template("phrase", " ".join(long[:80]), True))
+    less = [w for i, w in enumerate(long) if i not in (20, 77, 140)]
+    more = long[:70] + ["in"] + long[70:150] + ["to"] + long[150:]
+    texts = [" ".join(long), "x y " + " ".join(less), " ".join(more), " ".join(long[:100]), " ".join(long[:79]), "a " + " ".join(long[:80]) + " b " + " ".join(long[:80])]
+    got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["long,phrase", "long", "long", "phrase", "", "phrase"]
+    assert [got[i]["n_base"] for i in range(6)] == [1, 0, 0, 1, 0, 2] and (got[5]["first_word"], got[5]["last_word"]) == (1, 82)
+    assert got[0]["score"] == 1.0 and 0.9 < got[1]["score"] < 1.0
+
+
 def test_licenses_run_no_python(spark):
     plan = license.scan(spark.createDataFrame([(1, "cc by")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
