@@ -139,13 +139,8 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", lan
     return df.withColumn(out, made(F.col(text)))
 
 
-def _order_columns() -> tuple[Column, Column]:
-    """Documents stand by doc_id, null first; rows of one id by a hash of their text."""
-    return F.col("doc_id").isNotNull().cast("long") * F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text")
-
-
 def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
-    """docs (doc_id, text) dealt into ranges of doc_id as sorted partitions, each range followed by the first document of the next one.
+    """docs (doc_id, text) in order of doc_id, null first, and rows of one id by a hash of their text, dealt into ranges of doc_id as sorted partitions, each range followed by the first document of the next one.
 
     Adds `part__` and `halo__` (true: stands there only to follow). The ranges are from quantiles of the ids; only their
     bounds and first ids come to the driver, one pair for each range. A range's first document travels through the same shuffle twice.

@@ -79,13 +79,10 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        parts = [self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{n}/sums" if n.startswith("base-") else f"{self.path}/{n}") for n in self.committed()]
-        if not parts:
+        paths = [f"{self.path}/{n}/sums" if n.startswith("base-") else f"{self.path}/{n}" for n in self.committed()]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        return _summed(whole).where((F.col("docs") != 0) | (F.col("tokens") != 0))
+        return _summed(self.spark.read.schema(SCHEMA).parquet(*paths)).where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def compact(self) -> None:
         """Folds committed batches into a base; the base counts once its marker stands. Their folders stay as the record of what was committed."""
