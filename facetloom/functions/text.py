@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -74,13 +75,33 @@ def float_text(x: Column) -> Column:
 def _lcs(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """A longest common subsequence and the ranges in which it runs, last first: of equal lengths the shorter prefix of a goes first."""
     n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
     bs = np.array([ord(c) for c in b], np.int64)
-    for i in range(1, n + 1):
-        hit = np.where(bs == ord(a[i - 1]), table[i - 1, :-1] + 1, 0)
-        table[i, 1:] = np.maximum.accumulate(np.maximum(hit, table[i - 1, 1:]))
+    step = max(1, math.isqrt(n))
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        hit = np.where(bs == ord(a[i - 1]), row[:-1] + 1, 0)
+        return np.r_[np.int32(0), np.maximum.accumulate(np.maximum(hit, row[1:]))].astype(np.int32)
+
+    # Every step-th row is kept; on the way back the rows between two of them are made again.
+    row, kept = np.zeros(m + 1, np.int32), []
+    for i in range(n + 1):
+        row = below(row, i) if i else row
+        if i % step == 0:
+            kept.append(row)
+    table: dict[int, np.ndarray] = {}
+
+    def at_row(i: int) -> np.ndarray:
+        if i not in table:
+            table.clear()
+            first = max(0, i - 1) // step * step
+            table[first] = kept[first // step]
+            for k in range(first + 1, i + 1):
+                table[k] = below(table[k - 1], k)
+        return table[i]
+
     out, ranges, i, j = [], [], n, m
     while i and j:
+        here = at_row(i)
         if a[i - 1] == b[j - 1]:
             out.append(a[i - 1])
             if ranges and ranges[-1][0] == i and ranges[-1][2] == j:
@@ -89,7 +110,7 @@ def _lcs(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int]]]:
             else:
                 ranges.append((i - 1, i - 1, j - 1, j - 1))
             i, j = i - 1, j - 1
-        elif table[i - 1, j] > table[i, j - 1]:
+        elif table[i - 1][j] > here[j - 1]:
             i -= 1
         else:
             j -= 1
@@ -97,7 +118,7 @@ def _lcs(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int]]]:
 
 
 def lcs(a: Column, b: Column, min_match: int = 0) -> Column:
-    """struct<lcs, len, matches<a_start, a_end, b_start, b_end>>; quadratic in the lengths, in numpy rows."""
+    """struct<lcs, len, matches<a_start, a_end, b_start, b_end>>; time is quadratic in the lengths, in numpy rows, memory a row for each root of the length."""
     ship(SparkSession.active())
 
     @F.pandas_udf("lcs string, len int, matches array<struct<a_start:int,a_end:int,b_start:int,b_end:int>>")

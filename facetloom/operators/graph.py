@@ -3,9 +3,12 @@ round is written, so that lineage stays short and a lost executor costs one roun
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetloom.operators import keyed
 from facetloom.sources.shared import cut
 
 
@@ -27,15 +30,27 @@ def neighbours(edges: DataFrame, direction: str = "out", rel: str | None = None)
     return {"out": out, "in": in_}[direction] if direction != "both" else out.unionByName(in_)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, most: int = 20) -> DataFrame:
-    """start, id, hops, path of every node that starts (id) reach along edges, or of targets (id) only; the path of smallest ids where several are shortest.
+def create_nodes(nodes: DataFrame, delta: DataFrame) -> DataFrame:
+    """With new nodes; those of an id that is there are replaced."""
+    return keyed.upsert(nodes, delta, ["id"])
+
+
+def create_edges(nodes: DataFrame, edges: DataFrame, delta: DataFrame) -> DataFrame:
+    """With the new edges whose ends are both there."""
+    ids = nodes.select(F.col("id").alias("g__")).distinct()
+    new = delta.join(ids, F.col("src") == F.col("g__"), "left_semi").join(ids, F.col("dst") == F.col("g__"), "left_semi")
+    return edges.unionByName(new.select(*edges.columns))
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """start, id, hops, path of every node that starts (id) reach along edges, or of targets (id) only; the path of smallest ids where several are shortest. most: hops; None goes on until nothing new is reached.
 
     Breadth first for all starts at once: a round joins the frontier with the edges, keeps one path a node and drops what was seen.
     """
     links = edges.select(F.col("src").alias("s__"), F.col("dst").alias("d__")).distinct()
     frontier = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops"), F.array("id").alias("path")).distinct())
     seen, rounds = frontier, [frontier]
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1) if most is None else range(1, most + 1):
         step = frontier.join(links, F.col("id") == F.col("s__")).select("start", F.col("d__").alias("id"), F.array_append("path", F.col("d__")).alias("path"))
         new = step.groupBy("start", "id").agg(F.min("path").alias("path")).join(seen.select("start", "id"), ["start", "id"], "left_anti")
         frontier = cut(new.select("start", "id", F.lit(hop).alias("hops"), "path"))

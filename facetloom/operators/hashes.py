@@ -21,8 +21,9 @@ def added(hsh: DataFrame, delta: DataFrame) -> DataFrame:
     return delta.select(*KEYS).distinct().join(hsh.select(*KEYS), KEYS, "left_anti").groupBy("key").agg(F.count("*").alias("n"))
 
 
-def hsetnx(hsh: DataFrame, delta: DataFrame) -> DataFrame:
-    return keyed.insert_new(hsh, delta, KEYS)
+def hsetnx(hsh: DataFrame, delta: DataFrame, place: str | None = None) -> DataFrame:
+    """Of a field given more than once the first counts."""
+    return keyed.insert_new(hsh, delta, KEYS, place)
 
 
 def hsetex(hsh: DataFrame, delta: DataFrame, rule: str = "always") -> DataFrame:
@@ -38,6 +39,11 @@ def hget(hsh: DataFrame, field: str) -> DataFrame:
     return hsh.where(F.col("field") == field).select("key", "value")
 
 
+def hexists(hsh: DataFrame, field: str) -> DataFrame:
+    """key, found: for all hashes, in one aggregate."""
+    return hsh.groupBy("key").agg(F.max(F.col("field") == field).alias("found"))
+
+
 def hmget(hsh: DataFrame, fields: list[str]) -> DataFrame:
     """key and values, an array in the order asked for with nulls for missing fields."""
     picked = hsh.where(F.col("field").isin(*fields)).groupBy("key").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"v{i}") for i, f in enumerate(fields)))
@@ -63,10 +69,11 @@ def hgetall(hsh: DataFrame) -> DataFrame:
 
 def hincrby(hsh: DataFrame, log: DataFrame) -> DataFrame:
     """Fields (key, field, value) after all whole increments of a log (key, field, by); missing fields start at 0, overflow raises."""
-    touched = log.select(*KEYS, F.col("by").cast("long"))
-    old = hsh.join(touched.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, F.col("value").cast("long").alias("by"))
-    new = old.unionByName(touched).groupBy(*KEYS).agg(F.sum("by").cast("string").alias("value"))
-    return keyed.upsert(hsh.select(*KEYS, "value"), new, KEYS)
+    both = hsh.select(*KEYS, "value", F.lit(None).cast("long").alias("by")).unionByName(log.select(*KEYS, F.lit(None).cast("string").alias("value"), F.col("by").cast("long")))
+    # One shuffle, and what is not incremented is never read as a number.
+    summed = both.groupBy(*KEYS).agg(F.max("value").alias("old"), F.sum("by").alias("by"))
+    new = (F.coalesce(F.when(F.col("by").isNotNull(), F.col("old")).cast("long"), F.lit(0)) + F.col("by")).cast("string")
+    return summed.select(*KEYS, F.when(F.col("by").isNull(), F.col("old")).otherwise(new).alias("value"))
 
 
 def hincrbyfloat(hsh: DataFrame, field: str, by: float) -> DataFrame:

@@ -100,7 +100,10 @@ def _places(root, steps: list, create: bool):
 def _changed(text: str | None, steps: list, change: Change, create: bool) -> str | None:
     if text is None:
         return None
-    root = json.loads(text)
+    try:
+        root = json.loads(text)
+    except ValueError:
+        return text
     places = _places(root, steps, create)
     for box, at, old in reversed(places):
         new = change(old)
@@ -115,7 +118,7 @@ def _changed(text: str | None, steps: list, change: Change, create: bool) -> str
 
 
 def write(js: DataFrame, path: str, change: Change, create: bool = False) -> DataFrame:
-    """js with doc rebuilt: change maps the value at each place to a new one or GONE. Documents that lose their root go."""
+    """js with doc rebuilt: change maps the value at each place to a new one or GONE. Documents that lose their root go; what is no JSON stays as it is."""
     ship(js.sparkSession)
     steps = parts(path)
 
@@ -145,11 +148,12 @@ def _number(x) -> bool:
 
 
 def numincrby(js: DataFrame, path: str, by: float) -> DataFrame:
-    return write(js, path, lambda old: float(old) + by if _number(old) else old)
+    """Whole numbers stay whole, whatever their length, where both are."""
+    return write(js, path, lambda old: old + by if _number(old) else old)
 
 
 def nummultby(js: DataFrame, path: str, by: float) -> DataFrame:
-    return write(js, path, lambda old: float(old) * by if _number(old) else old)
+    return write(js, path, lambda old: old * by if _number(old) else old)
 
 
 def strappend(js: DataFrame, path: str, suffix: str) -> DataFrame:
@@ -190,6 +194,61 @@ def arrpop(js: DataFrame, path: str, index: int = -1) -> DataFrame:
     return write(js, path, change)
 
 
+def arrpopped(path: str, index: int = -1, doc: Column | str = "doc") -> Column:
+    """The element that arrpop() takes, as text; null where there is none."""
+    elements = F.from_json(get(path, doc), "array<string>")
+    n = F.size(elements)
+    at = F.least(F.greatest(F.lit(index) if index >= 0 else n + index, F.lit(0)), n - 1)
+    return F.when(n > 0, F.get(elements, at))
+
+
+def resp(path: str, doc: Column | str = "doc") -> Column:
+    """The value at a path as a flat array: '[' and '{' open containers, whose elements, or names and values, follow; null where nothing is there."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([_flat(v) for v in values], dtype=object)
+
+    return run(get(path, doc))
+
+
+def _flat(text: str | None) -> list[str | None] | None:
+    if text is None:
+        return None
+    out: list[str | None] = []
+
+    def walk(v) -> None:
+        if isinstance(v, dict):
+            out.append("{")
+            for k, x in v.items():
+                out.append(k)
+                walk(x)
+        elif isinstance(v, list):
+            out.append("[")
+            for x in v:
+                walk(x)
+        else:
+            out.append(v if v is None or isinstance(v, str) else json.dumps(v))
+
+    try:
+        walk(json.loads(text))
+    except ValueError:
+        return [text]
+    return out
+
+
+def mset(js: DataFrame, sets: list[tuple[str, str, object]]) -> DataFrame:
+    """Values (key, path, value) set together, in order; a root path makes a document that is not there."""
+    roots = [(k, json.dumps(v, separators=(",", ":"), ensure_ascii=False)) for k, p, v in sets if not parts(p)]
+    if roots:
+        new = js.sparkSession.createDataFrame([(k, d) for k, d in dict(roots).items()], "key string, doc string")
+        js = js.unionByName(new.join(js.select("key"), "key", "left_anti"))
+    for key, path, value in sets:
+        mine = set_(js.where(F.col("key") == key), path, value)
+        js = js.where(F.col("key") != key).unionByName(mine)
+    return js
+
+
 def arrtrim(js: DataFrame, path: str, start: int, stop: int) -> DataFrame:
     def change(old):
         if not isinstance(old, list):

@@ -16,9 +16,14 @@ def upsert(state: DataFrame, delta: DataFrame, keys: list[str], order: str | Non
     return last.select(*keys, "v__.*").select(*cols)
 
 
-def insert_new(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of delta whose keys state has not."""
-    return state.unionByName(delta.select(*state.columns).join(state.select(*keys), keys, "left_anti"))
+def insert_new(state: DataFrame, delta: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of delta whose keys state has not; of several with one key the first by `order`, or the smallest, counts."""
+    rest = [c for c in state.columns if c not in keys]
+    if rest:
+        first = delta.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order) if order else F.struct(*rest)).alias("v__")).select(*keys, "v__.*")
+    else:
+        first = delta.select(*keys).distinct()
+    return state.unionByName(first.select(*state.columns).join(state.select(*keys), keys, "left_anti"))
 
 
 def delete(state: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

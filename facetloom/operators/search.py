@@ -60,6 +60,21 @@ class Index:
     def remove(self, ids: DataFrame) -> Index:
         return Index(self.postings.join(ids, "id", "left_anti"), self.docs.join(ids, "id", "left_anti"), self.weights)
 
+    @staticmethod
+    def names(spark: SparkSession, path: str) -> list[str]:
+        """Indexes that save() has finished below a folder."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        child = lambda s: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "docs/_SUCCESS")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(child(s)))
+
+    @staticmethod
+    def drop(spark: SparkSession, path: str) -> None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def info(self) -> DataFrame:
         return self.docs.agg(F.count("*").alias("docs"), F.sum("len").alias("terms"), F.avg("len").alias("avg_len"))
 
@@ -69,8 +84,8 @@ class Index:
         """BM25, summed over the fields by weight."""
         hits = self.postings.where(F.col("term") == term.lower())
         hits = hits if field is None else hits.where(F.col("field") == field)
-        df_ = F.count("*").over(Window.partitionBy("field"))
-        hits = hits.select("field", "id", "tf", df_.alias("df"))
+        counts = F.broadcast(hits.groupBy("field").agg(F.count("*").alias("df")))  # a row for each field
+        hits = hits.select("field", "id", "tf").join(counts, "field")
         stats = F.broadcast(self.docs.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg")))  # one row
         weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in self.weights.items()), F.lit(1.0))
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)

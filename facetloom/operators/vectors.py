@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetloom.operators import keyed
 from facetloom.operators.zsets import by_lex
+from facetloom.shipping import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,7 +22,7 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
         return dot(a, b)
     if metric == "l2":
         return 1.0 / (1.0 + F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
 def normalised(v: Column) -> Column:
@@ -42,19 +45,48 @@ def search(vs: DataFrame, query: list[float], k: int, metric: str = "cosine", wh
     return df.withColumn("score", similarity(F.col("v"), q, metric)).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
-def by_element(vs: DataFrame, asks: DataFrame, k: int, metric: str = "cosine", same_key: bool = True, blocks: int = 16) -> DataFrame:
-    """For each of asks (id) its k nearest others, of its key or of all: query, id, score.
+def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return 1 / (1 + np.sqrt(np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T), 0)))
+    if metric == "ip":
+        return q @ c.T
+    lengths = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+    return np.divide(q @ c.T, lengths, out=np.zeros(lengths.shape), where=lengths > 0)
+
+
+def by_element(vs: DataFrame, asks: DataFrame, k: int, metric: str = "cosine", same_key: bool = True, rows: int = 4096) -> DataFrame:
+    """For each of asks (id) its k nearest others, of its key or of all: query, id, score. A stated query set against all rows.
 
-    Within keys the join is an equi-join. Over all, the candidates are dealt into blocks and each query goes to every block: a stated query set against all rows.
+    Vectors and queries of a key (or all) are dealt by hash into parts of about `rows`, their number from their count; each pair of parts is scored at once by numpy and gives the
+    k best of each query, which one more aggregate merges. No task holds more than two parts, whatever the size of a key.
     """
-    q = vs.join(asks.select(F.col("id").alias("a__")).distinct(), F.col("id") == F.col("a__"), "left_semi").select(F.col("key").alias("k__"), F.col("id").alias("query"), F.col("v").alias("q__"))
-    if same_key:
-        pairs = q.join(vs, F.col("k__") == F.col("key"))
-    else:
-        q = q.withColumn("b__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = q.join(vs.withColumn("b2__", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), F.col("b__") == F.col("b2__"))
-    scored = pairs.where(F.col("id") != F.col("query")).select("query", "id", similarity(F.col("q__"), F.col("v"), metric).alias("score"))
-    return keyed.first_n(scored, ["query"], k, F.desc("score"), F.asc("id"))
+    ship(vs.sparkSession)
+    base = vs.select((F.col("key") if same_key else F.lit("")).alias("g"), "id", "v")
+    q = base.join(asks.select(F.col("id").alias("a__")).distinct(), F.col("id") == F.col("a__"), "left_semi")
+    many = base.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")).join(q.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("tiles")), "g")
+    part, tile = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("parts", "tiles"))
+    there = base.join(many, "g").select("g", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "id", "v")
+    asked = q.join(many, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), tile.alias("tile"), F.col("id").alias("query"), "v")
+
+    def nearest(key, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": a["query"][:0], "id": c["id"][:0], "score": np.zeros(0)})]
+        if len(a) and len(c):
+            ids, x = c["id"].to_numpy(), np.vstack(c["v"].to_numpy()).astype(float)
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            for first in range(0, len(a), 512):
+                some = a.iloc[first : first + 512]
+                s = _scores(np.vstack(some["v"].to_numpy()).astype(float), x, metric)
+                s[some["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id, as ids are in order
+                own = np.repeat(some["query"].to_numpy(), best.shape[1])
+                score = np.take_along_axis(s, best, 1).ravel()
+                out.append(pd.DataFrame({"query": own, "id": ids[best.ravel()], "score": score})[~np.isneginf(score)])
+        return pd.concat(out)
+
+    kind = dict(vs.dtypes)["id"]
+    found = asked.groupBy("g", "part", "tile").cogroup(there.groupBy("g", "part", "tile")).applyInPandas(nearest, f"query {kind}, id {kind}, score double")
+    return keyed.first_n(found, ["query"], k, F.desc("score"), F.asc("id"))
 
 
 def vrange(vs: DataFrame, low: str, high: str, count: int | None = None) -> DataFrame:
@@ -63,6 +95,18 @@ def vrange(vs: DataFrame, low: str, high: str, count: int | None = None) -> Data
     return df if count is None else keyed.first_n(df, ["key"], count, F.asc("name"))
 
 
+def vemb(vs: DataFrame, names: list[str]) -> DataFrame:
+    """key, name, v of some elements."""
+    return vs.where(F.col("name").isin(*names)).select("key", "name", "v")
+
+
+def vismember(vs: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """place, name, found in argument order."""
+    args = keyed.arguments(vs.sparkSession, names, "name")
+    mine = vs.where((F.col("key") == key) & F.col("name").isin(*names)).select("name", F.lit(True).alias("found")).distinct()
+    return args.join(mine, "name", "left").select("place", "name", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def vinfo(vs: DataFrame) -> DataFrame:
     return vs.groupBy("key").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"))
 

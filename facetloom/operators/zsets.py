@@ -15,9 +15,19 @@ def order(rev: bool = False) -> tuple[Column, Column]:
     return (F.desc("score"), F.desc("member")) if rev else (F.asc("score"), F.asc("member"))
 
 
-def zadd(zs: DataFrame, delta: DataFrame, exist: str = "", compare: str = "") -> DataFrame:
-    """Upserts scores. exist: nx adds only, xx updates only; compare: gt or lt updates only to a larger or smaller score."""
-    new = delta.select(F.col("key"), F.col("member"), F.col("score").alias("new__"))
+def zadd(zs: DataFrame, delta: DataFrame, exist: str = "", compare: str = "", place: str | None = None) -> DataFrame:
+    """Upserts scores. exist: nx adds only, xx updates only; compare: gt or lt updates only to a larger or smaller score.
+
+    Of a member given more than once the largest counts under gt and the smallest under lt; else the last by `place` (the first under nx), or, without one, the largest (the smallest under nx).
+    """
+    first = exist == "nx"
+    if compare:
+        one = F.max("score") if compare == "gt" else F.min("score")
+    elif place:
+        one = F.min_by("score", place) if first else F.max_by("score", place)
+    else:
+        one = F.min("score") if first else F.max("score")
+    new = delta.groupBy(*KEYS).agg(one.alias("new__"))
     both = zs.select(*KEYS, "score").join(new, KEYS, "full")
     old, fresh = F.col("score"), F.col("new__")
     take = {"": F.lit(True), "gt": fresh > old, "lt": fresh < old}[compare] & F.lit(exist != "nx")

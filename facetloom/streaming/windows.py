@@ -40,15 +40,16 @@ PENDING = "key string, consumer string, entry string, n long"
 
 
 def deliver(events: DataFrame, consumers: int, key: str = "key", entry: str = "entry") -> DataFrame:
-    """Entries dealt to the consumers of a group in turn, for each key; how many a key has had is kept in the state store."""
+    """Entries dealt to the consumers of a group in turn, for each key, in the order of entries within a trigger; how many a key has had is kept in the state store. A trigger's entries of a key are ordered in one task: files_per_batch bounds them."""
     ship(events.sparkSession)
 
     def run(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for b in batches:
-            rows = sorted(b[entry].tolist())
-            yield pd.DataFrame({"key": own[0], "consumer": [f"c{(n + i) % consumers}" for i in range(len(rows))], "entry": rows, "n": range(n, n + len(rows))})
-            n += len(rows)
+        rows = sorted(x for b in batches for x in b[entry].tolist())
+        for first in range(0, len(rows), 4096):
+            some = rows[first : first + 4096]
+            yield pd.DataFrame({"key": own[0], "consumer": [f"c{(n + i) % consumers}" for i in range(len(some))], "entry": some, "n": range(n, n + len(some))})
+            n += len(some)
         state.update((n,))
 
     return events.groupBy(key).applyInPandasWithState(run, PENDING, "n long", "append", GroupStateTimeout.NoTimeout)
