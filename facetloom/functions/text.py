@@ -91,7 +91,7 @@ def _lcs(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     table: dict[int, np.ndarray] = {}
 
     def at_row(i: int) -> np.ndarray:
-        if i not in table:
+        if i not in table or i - 1 not in table:
             table.clear()
             first = max(0, i - 1) // step * step
             table[first] = kept[first // step]

@@ -22,7 +22,8 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
         return dot(a, b)
     if metric == "l2":
         return 1.0 / (1.0 + F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
+    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
 def normalised(v: Column) -> Column:
@@ -61,12 +62,15 @@ def by_element(vs: DataFrame, asks: DataFrame, k: int, metric: str = "cosine", s
     k best of each query, which one more aggregate merges. No task holds more than two parts, whatever the size of a key.
     """
     ship(vs.sparkSession)
-    base = vs.select((F.col("key") if same_key else F.lit("")).alias("g"), "id", "v")
-    q = base.join(asks.select(F.col("id").alias("a__")).distinct(), F.col("id") == F.col("a__"), "left_semi")
-    many = base.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")).join(q.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("tiles")), "g")
-    part, tile = (F.pmod(F.xxhash64("id"), F.col(n)).cast("int") for n in ("parts", "tiles"))
-    there = base.join(many, "g").select("g", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "id", "v")
-    asked = q.join(many, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), tile.alias("tile"), F.col("id").alias("query"), "v")
+    scope = F.col("key") if same_key else F.lit("")
+    base = vs.select(scope.alias("g"), "id", "v")
+    q = vs.join(asks.select(F.col("id").alias("a__")).distinct(), F.col("id") == F.col("a__"), "left_semi").select(scope.alias("q_g"), F.col("id").alias("query"), F.col("v").alias("q_v"))
+    parts = base.groupBy(F.col("g").alias("p_g")).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    tiles = q.groupBy(F.col("q_g").alias("t_g")).agg(F.ceil(F.count("*") / rows).cast("int").alias("tiles"))
+    many = parts.join(tiles, F.col("p_g").eqNullSafe(F.col("t_g")))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    there = base.join(many, F.col("g").eqNullSafe(F.col("p_g"))).select("g", dealt("id", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "id", "v")
+    asked = q.join(many, F.col("q_g").eqNullSafe(F.col("p_g"))).select("q_g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"), dealt("query", "tiles").alias("q_tile"), "query", "q_v")
 
     def nearest(key, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": a["query"][:0], "id": c["id"][:0], "score": np.zeros(0)})]
@@ -76,7 +80,7 @@ def by_element(vs: DataFrame, asks: DataFrame, k: int, metric: str = "cosine", s
             ids, x = ids[order], x[order]
             for first in range(0, len(a), 512):
                 some = a.iloc[first : first + 512]
-                s = _scores(np.vstack(some["v"].to_numpy()).astype(float), x, metric)
+                s = _scores(np.vstack(some["q_v"].to_numpy()).astype(float), x, metric)
                 s[some["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id, as ids are in order
                 own = np.repeat(some["query"].to_numpy(), best.shape[1])
@@ -85,7 +89,7 @@ def by_element(vs: DataFrame, asks: DataFrame, k: int, metric: str = "cosine", s
         return pd.concat(out)
 
     kind = dict(vs.dtypes)["id"]
-    found = asked.groupBy("g", "part", "tile").cogroup(there.groupBy("g", "part", "tile")).applyInPandas(nearest, f"query {kind}, id {kind}, score double")
+    found = asked.groupBy("q_g", "q_part", "q_tile").cogroup(there.groupBy("g", "part", "tile")).applyInPandas(nearest, f"query {kind}, id {kind}, score double")
     return keyed.first_n(found, ["query"], k, F.desc("score"), F.asc("id"))
 
 

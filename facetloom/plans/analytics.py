@@ -115,14 +115,18 @@ _AGG = {
 for _how, _sql in _AGG.items():
 
     # A logarithm has no ties at which two engines would round apart.
-    _shown = f"ln(1 + {_sql})" if _how.startswith("var") else _sql
+    _shown = f"round({f'ln(1 + {_sql})' if _how.startswith('var') else _sql}, 4)"
+    if _how == "avg":  # half up, in whole numbers: values have six digits at most
+        _shown = "((2 * sum(round(value * 1000000)::HUGEINT) + 100 * count(*)) // (200 * count(*)))::DOUBLE / 10000"
 
-    @query(f"ts_range_{_how}", f"SELECT series, {_BUCKET}, round({_shown}, 4) AS value FROM ts WHERE ts_ms BETWEEN {START} AND {END} GROUP BY ALL", "ts")
+    @query(f"ts_range_{_how}", f"SELECT series, {_BUCKET}, {_shown} AS value FROM ts WHERE ts_ms BETWEEN {START} AND {END} GROUP BY ALL", "ts")
     def _(s, d, how=_how):
         x = f.ts(s, d)
         x = timeseries.add(x, "sum") if how in ("first", "last") else x
+        # Averages are of decimals, on both sides: whole cents lie on the ties of a rounding, where sums of doubles differ by their order.
+        x = x.withColumn("value", C("value").cast("decimal(18,6)")) if how == "avg" else x
         found = timeseries.aggregate(x, how, HOURS, START, END)
-        return found.withColumn("value", F.round(F.log1p("value") if how.startswith("var") else "value", 4))
+        return found.withColumn("value", F.round(F.log1p("value") if how.startswith("var") else "value", 4).cast("double"))
 
     if _how in ("first", "last"):
         QUERIES[f"ts_range_{_how}"] = (QUERIES[f"ts_range_{_how}"][0], sql("ts", f", u AS (SELECT series, ts_ms, sum(value) AS value FROM ts GROUP BY ALL) SELECT series, {_BUCKET}, round({_sql}, 4) AS value FROM u WHERE ts_ms BETWEEN {START} AND {END} GROUP BY ALL"))
@@ -331,11 +335,6 @@ def _(s, d):
     return x.select("member", "cell", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query("geo_hash", None)
-def _(s, d):
-    return f.geo(s, d).select("member", geo.geohash(geo.encode(C("lon"), C("lat"))).alias("hash"))
-
-
 @query("geo_radius", f"SELECT member, round({_dist('10.0', 'lat', '20.0', 'lon')} / 1000, 4) AS dist FROM geo WHERE {_dist('10.0', 'lat', '20.0', 'lon')} / 1000 <= 2500", "geo")
 def _(s, d):
     return geo.radius(f.geo(s, d), 20.0, 10.0, 2500, "km").select("member", _r("dist", 4))
@@ -393,8 +392,17 @@ def _(s, d):
 # Full text.
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def _index(s, d):
-    return search.Index.create(f.table(s, d, "documents").withColumn("title", F.substring("text", 1, 40)), "doc_id", {"text": 1.0, "title": 5.0})
+    """The index of the documents, built and saved once for an application, as a user would keep it."""
+    weights, own = {"text": 1.0, "title": 5.0}, (s.sparkContext.applicationId, d)
+    if own not in _indexes:
+        path = f"{shared.shared_dir(s)}/index-{uuid.uuid4().hex}"
+        search.Index.create(f.table(s, d, "documents").withColumn("title", F.substring("text", 1, 40)), "doc_id", weights).save(path)
+        _indexes[own] = path
+    return search.Index.load(s, _indexes[own], weights)
 
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOPWORDS)
@@ -420,7 +428,7 @@ def _top(found):
 
 @query("ft_postings", _TOKENS + "SELECT field, term, id, tf FROM post", "kv")
 def _(s, d):
-    return _index(s, d).postings.select("field", "term", "id", "tf")
+    return search.Index.create(f.table(s, d, "documents").withColumn("title", F.substring("text", 1, 40)), "doc_id", {"text": 1.0, "title": 5.0}).postings.select("field", "term", "id", "tf")
 
 
 @query("ft_term", _page("SELECT id, score FROM bm WHERE term = 'ntnt'"), "kv")
@@ -582,12 +590,12 @@ def _(s, d):
     return got.select("event_type", F.unix_millis("start").alias("start"), "n", _r("high"))
 
 
-@query("ss_first_only", None)
+@query("ss_first_only", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def _(s, d):
     return _streamed(s, d, lambda e: windows.first_only(e, ["user_id", "event_type"], "40 days")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("ss_deliver", None)
+@query("ss_deliver", "SELECT event_type AS key, 'c' || i AS consumer, ((count(*) - i + 2) // 3)::BIGINT AS n FROM events, range(3) r(i) GROUP BY event_type, i")
 def _(s, d):
     got = _streamed(s, d, lambda e: windows.deliver(e.select(C("event_type").alias("key"), C("event_id").cast("string").alias("entry")), 3))
     return got.groupBy("key", "consumer").agg(F.count("*").alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from facetloom.plans import analytics, collections
+from facetloom.plans import analytics, collections, commands
 
 FLAGSHIP = "zset_topk"
-_ALL = collections.QUERIES | analytics.QUERIES
+_ALL = collections.QUERIES | analytics.QUERIES | commands.QUERIES
 
 
 def queries() -> dict:

@@ -96,22 +96,6 @@ def _(s, d):
     return strings.delex(f.kv(s, d), C("value") == "BUILDING").select("key", "value")
 
 
-@query("str_lcs", None)
-def _(s, d):
-    kv = f.kv(s, d)
-    return kv.select("key", text.lcs(C("value"), F.lit("AUTOMOBILE BUILDING")).alias("l")).select("key", "l.lcs", "l.len")
-
-
-@query("str_digest", None)
-def _(s, d):
-    return f.kv(s, d).select("key", text.xxh3(C("value")).alias("digest"))
-
-
-@query("cluster_keyslot", None)
-def _(s, d):
-    return f.kv(s, d).select("key", text.key_slot(C("key")).alias("slot"))
-
-
 # Keys.
 
 
@@ -271,7 +255,7 @@ def _(s, d):
 def _(s, d):
     x = f.hsh(s, d)
     log = f.table(s, d, "lineitem").select(F.concat(F.lit("order:"), "l_orderkey").alias("key"), F.lit("total").alias("field"), C("l_quantity").cast("long").alias("by"))
-    return hashes.hincrby(x, log.join(x.where("field = 'total'").select("key"), "key", "left_semi"))
+    return hashes.hincrby(x, log)
 
 
 @query("hash_hdel", "SELECT key, field, value FROM hsh WHERE field NOT IN ('cust', 'total')", "hsh")

@@ -274,3 +274,70 @@ def test_empty_facets(spark):
     t = spark.createDataFrame([], "series string, ts_ms long, value double, event_id long")
     for df in (zsets.zrank(z), zsets.zunion(z, ["a", "b"]), zsets.zrange(z, -2, -1), sets.sinter(s, ["a"]), timeseries.aggregate(t, "twa", 10, 0, 100), timeseries.latest(t), sketches.topk(s, ["key"], "member", 3)):
         assert df.count() == 0
+
+
+def test_deltas_that_repeat_a_key(spark):
+    zs = spark.createDataFrame([("k", "a", 5.0)], "key string, member string, score double")
+    twice = spark.createDataFrame([("k", "a", 7.0, 0), ("k", "a", 3.0, 1), ("k", "b", 2.0, 0), ("k", "b", 9.0, 1)], "key string, member string, score double, place int")
+    scores = lambda df: {r["member"]: r["score"] for r in df.collect()}
+    assert scores(zsets.zadd(zs, twice, place="place")) == {"a": 3.0, "b": 9.0} and zsets.zadd(zs, twice).count() == 2
+    assert scores(zsets.zadd(zs, twice, compare="gt")) == {"a": 7.0, "b": 9.0} and scores(zsets.zadd(zs, twice, compare="lt")) == {"a": 3.0, "b": 2.0}
+    assert scores(zsets.zadd(zs, twice, exist="nx", place="place")) == {"a": 5.0, "b": 2.0} and scores(zsets.zadd(zs, twice, exist="xx", place="place")) == {"a": 3.0}
+    h = spark.createDataFrame([("k", "a", "1")], "key string, field string, value string")
+    new = spark.createDataFrame([("k", "b", "y", 1), ("k", "b", "x", 0), ("k", "a", "z", 0)], "key string, field string, value string, place int")
+    assert {(r["field"], r["value"]) for r in hashes.hsetnx(h, new, "place").collect()} == {("a", "1"), ("b", "x")}
+    log = spark.createDataFrame([("k", "a", 2), ("k", "a", 3), ("k", "c", 4)], "key string, field string, by int")
+    assert {(r["field"], r["value"]) for r in hashes.hincrby(h.unionByName(spark.createDataFrame([("k", "t", "no number")], h.schema)), log).collect()} == {("a", "6"), ("c", "4"), ("t", "no number")}
+
+
+def test_documents_that_are_no_json(spark):
+    js = spark.createDataFrame([("a", "{bad"), ("b", '{"n":9007199254740993}'), ("c", None)], "key string, doc string")
+    got = {r["key"]: r["doc"] for r in jsondocs.numincrby(js, "$.n", 1).collect()}
+    assert got == {"a": "{bad", "b": '{"n":9007199254740994}'}
+
+
+def test_subsequences_against_a_table():
+    import random
+
+    from facetloom.functions.text import _lcs
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(2))
+        found, ranges = _lcs(a, b)
+        assert len(found) == plain(a, b) and found == "".join(a[r[0] : r[1] + 1] for r in reversed(ranges)) == "".join(b[r[2] : r[3] + 1] for r in reversed(ranges))
+
+
+def test_nearest_elements_by_parts(spark):
+    import numpy as np
+
+    from facetloom.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    x[7] = 0
+    df = spark.createDataFrame([("a" if i % 3 else None, i, v.tolist()) for i, v in enumerate(x)], "key string, id long, v array<double>")
+    for same in (True, False):
+        got = vectors.by_element(df, df.where("id < 40"), 4, same_key=same, rows=16).collect()
+        for q in range(40):
+            norm = np.linalg.norm(x, axis=1) * np.linalg.norm(x[q])
+            s = np.divide(x @ x[q], norm, out=np.zeros(300), where=norm > 0)
+            s[[i for i in range(300) if i == q or (same and (i % 3 == 0) != (q % 3 == 0))]] = -np.inf
+            mine = sorted((r for r in got if r["query"] == q), key=lambda r: (-r["score"], r["id"]))
+            assert np.allclose([r["score"] for r in mine], np.sort(s)[::-1][:4])
+
+
+def test_paths_have_no_bound(spark):
+    from facetloom.operators import graph
+
+    edges = spark.createDataFrame([(str(i), str(i + 1), "n") for i in range(24)], "src string, dst string, rel string")
+    starts = spark.createDataFrame([("0",)], "id string")
+    assert graph.shortest_paths(edges, starts).agg({"hops": "max"}).first()[0] == 24
+    assert graph.shortest_paths(edges, starts, most=3).count() == 4
