@@ -302,3 +302,106 @@ def test_pipeline(spark):
     assert ids[1] <= ids[0] and ids[2] <= ids[1] and ids[3] <= ids[2] and ids[4] <= ids[3] and len(ids[2]) > 0.7 * len(ids[0])
     out = corpus_pipeline.run(spark, SF)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in steps[4].collect())
+
+
+def plain_pipeline(spark, rows, labels, sf_dir):
+    """The stages one document at a time: compressors and window sums of the models that the stages learn, all pairs of shingle sets, SQL for the mix, the tiktoken library."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from facetloom.llm import bpe, jaccard, language, quality
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda x: spark.createDataFrame(x, schema)
+    m = quality.train(frame(rows), labels)
+    sizer, counts = quality._Sizer(m.good, m.bad, m.block, m.level), []
+
+    def good(text):
+        f = (quality._expand(np.array([sizer(text)])) - np.array(m.mean)) / np.array(m.scale)
+        return 1 / (1 + np.exp(-(m.weights[0] + f @ np.array(m.weights[1:]))))[0] >= 0.3
+
+    rows = [r for r in rows if good(r[1])]
+    counts.append(len(rows))
+    lm = language.train(frame(rows))
+
+    def known(text):
+        if not any(c.isalpha() for c in text or ""):
+            return False
+        w = language._windows(language._codes(text), len(lm.logits))
+        z = (sum(lm.logits[i].astype(float) for i in w) / len(w) + lm.bias) / lm.temperature
+        return np.exp(z - z.max()).max() / np.exp(z - z.max()).sum() >= lm.reject
+
+    rows = [r for r in rows if known(r[1])]
+    counts.append(len(rows))
+    sets = [set(jaccard.shingles(r[1], 5).tolist()) for r in rows]
+    group = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                    group[i] = group[j] = min(group[i], group[j])
+                    changed = True
+    th = {r["text"]: r["h"] for r in frame(rows).selectExpr("text", "xxhash64(text) as h").collect()}
+    best = {}
+    for i, r in enumerate(rows):
+        own = (group[i], r[0] is None) if sets[i] else (i, None)
+        rank = (r[0] or 0, th[r[1]], i)
+        best[own] = min(best.get(own, (rank, i)), (rank, i))
+    rows = [rows[i] for _, i in best.values()]
+    counts.append(len(rows))
+    con = duckdb.connect()
+    con.register("rows_", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"}))
+    con.execute("create table documents as select * from rows_")
+    # The mix by its SQL, which keeps no text: the same query with it.
+    taken = con.execute(mixing.OP3_SQL.replace("SELECT doc_id, source, coalesce(len", "SELECT doc_id, text, source, coalesce(len").replace("SELECT d.doc_id, d.size", "SELECT d.doc_id, d.text, d.size")).fetchall()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    out = []
+    for doc_id, text, size, _, _, n in taken:
+        ids = library.encode_ordinary(text)
+        one = (doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        out += [one] * (n // size if size else 0)
+    return out, counts
+
+
+def test_pipeline_against_a_plain_one(spark, tmp_path):
+    rng = random.Random(12)
+    rows, quality_of = [], []
+    for i in range(220):
+        syllables, lang = rng.choice([(["the", "ing", "er", "tion", "wh"], "en"), (["lich", "keit", "ung", "sch", "zu"], "de")])
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.randint(20, 60))]
+        good = rng.random() < 0.7
+        rows.append((i, " ".join(words if good else [w + rng.choice(["&&&", "%%%", "***"]) for w in words]), rng.choice([lang, None]), rng.choice(["a", "a", "b", "c", None]), 0))
+        quality_of.append((i, int(good)))
+    for _ in range(60):  # copies, near copies, repeated and null ids
+        r = rng.choice(rows[:220])
+        text = r[1] + rng.choice(["", " more", " the more"])
+        rows.append((rng.choice([None, r[0], 1000 + len(rows)]), text, r[2], rng.choice(["a", "b", None]), 0))
+    rows += [(5000, None, "en", "a", 0), (5001, "", None, "b", 0), (5002, "12 34 !!", "de", None, 0), (None, None, None, None, 0)]
+    labels = spark.createDataFrame(quality_of, "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want, counts = plain_pipeline(spark, rows, labels, str(tmp_path))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len(rows) > counts[0] > counts[2] > 50
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_groups_stage_of_odd_columns(spark):
+    from facetloom.llm import jaccard
+
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, long, 1, 2, 3), (2, "other words", 1, 2, 3), (2, "other words", 1, 2, 3), (None, None, 1, 2, 3)], "doc_id long, text string, `a.b` int, gone int, `back``quote` int")
+    got = jaccard.keep(spark, df, "")
+    assert got.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, long), (2, "other words"), (None, None)], key=repr)
+    assert jaccard.keep(spark, df.limit(0), "").count() == 0
