@@ -400,14 +400,14 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, with its columns: the one with the smallest id, and of texts that share it the one with the smallest hash.
 
-    It is decided by row, so that an id that is repeated with other texts loses only those that are copies. Rows of a null id, which nothing can name,
-    are compared among themselves: one of each group stays. Of rows that repeat an id with one text, one stays. Documents without shingles stay.
+    It is decided by row, so that an id that is repeated with other texts loses only those that are copies. Null ids come last: a row of a null id stays only
+    in a group that has no other. Of rows that repeat an id with one text, one stays. Documents without shingles stay.
     """
     found = cut(_rows(docs, 5, 80), "groups")
     first = found.where("n > 0").groupBy(F.col("root").alias("root__")).agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("own"), F.min(F.when(F.col("doc_id").isNull(), F.col("th"))).alias("nameless")
     )
-    stays = F.when(F.col("doc_id").isNull(), F.col("th") == F.col("nameless")).otherwise(F.struct("doc_id", "th") == F.col("own"))
+    stays = F.when(F.col("doc_id").isNull(), F.col("own").isNull() & (F.col("th") == F.col("nameless"))).otherwise(F.struct("doc_id", "th") == F.col("own"))
     name, text_name = free_name(docs, "gone"), free_name(docs, "gone_text")
     gone = found.where("n > 0").join(first, F.col("root") == F.col("root__")).where(~stays).select(F.col("doc_id").alias(name), F.col("th").alias(text_name)).distinct()
     gone = cut(gone, "gone")

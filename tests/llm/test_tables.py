@@ -349,8 +349,8 @@ def plain_pipeline(spark, rows, labels, sf_dir):
     th = {r["text"]: r["h"] for r in frame(rows).selectExpr("text", "xxhash64(text) as h").collect()}
     best = {}
     for i, r in enumerate(rows):
-        own = (group[i], r[0] is None) if sets[i] else (i, None)
-        rank = (r[0] or 0, th[r[1]], i)
+        own = (group[i], True) if sets[i] else (i, None)
+        rank = (r[0] is None, r[0] or 0, th[r[1]], i)
         best[own] = min(best.get(own, (rank, i)), (rank, i))
     rows = [rows[i] for _, i in best.values()]
     counts.append(len(rows))
