@@ -3,7 +3,7 @@
 Each stage learns, where it learns, from what its predecessor kept: the quality classifier from the labels of the tables, the language classifier from the documents' own `lang`.
 
 Defined results: a null or empty text is scored by the quality classifier as an empty block, and goes in the language stage, as it has no letter; a null lang or
-source is learned from in no case, and is a source of its own; of copies the one with the smallest id stays, those of null ids are compared among themselves; rows of one
+source is learned from in no case, and is a source of its own; of copies the one with the smallest id stays, and one of a null id only where no other is there; rows of one
 id with other texts are documents of their own; a document that the mix takes more than once comes out as often; extra columns, whatever their names, go along up to the
 last stage, which returns doc_id, n_tokens, ids_sha256 and decoded_sha256; an empty table gives no rows.
 """
