@@ -384,11 +384,13 @@ def _rows(docs: DataFrame, k: int, percent: int, task: int = TASK) -> DataFrame:
     stars = windows.join(roots, F.col("h") == F.col("h__")).select("a", F.col("sid").alias("b")).where("a <> b").distinct()
     regions = components(stars)
     found = cut(connected(nodes, regions, central, percent, task), "found")
-    # All nodes of a group by its root; a node without links is its own.
-    owners = sized.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    owners = owners.join(found, F.col("sid") == F.col("v"), "left").select("sid", F.coalesce("root", "sid").alias("root"), "low")
-    lowest = owners.groupBy(F.col("root").alias("root__")).agg(F.min("low").alias("component_id"))
-    ids = owners.join(lowest, F.col("root") == F.col("root__")).select(F.col("sid").alias("sid__"), "root", "component_id")
+    # A group's smallest id is found among the nodes that regions hold, and written: one row a group, sent to all where these are few, else joined to a table that AQE can split.
+    # A node of no region is its own group.
+    owners = sized.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low")).join(found, F.col("sid") == F.col("v"), "left")
+    lowest = cut(owners.where("v is not null").groupBy(F.col("root").alias("root__")).agg(F.min("low").alias("lowest")), "lowest")
+    few = lowest.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    ids = owners.join(F.broadcast(lowest) if few else lowest, F.col("root") == F.col("root__"), "left")
+    ids = ids.select(F.col("sid").alias("sid__"), F.coalesce("root", "sid").alias("root"), F.coalesce("lowest", "low").alias("component_id"))
     both = sized.join(ids, (F.col("sid") == F.col("sid__")) & (F.col("n") > 0), "left")
     return both.select("doc_id", "th", "n", "root", "component_id")
 
