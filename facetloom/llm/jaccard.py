@@ -407,8 +407,11 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = cut(_rows(docs, 5, 80), "groups")
     first = found.where("n > 0").groupBy(F.col("root").alias("root__")).agg(
-        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("own"), F.min(F.when(F.col("doc_id").isNull(), F.col("th"))).alias("nameless")
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("own"), F.min(F.when(F.col("doc_id").isNull(), F.col("th"))).alias("nameless"), F.count("*").alias("c")
     )
+    # Groups of one row lose nothing. The others, one row each, go to all where they are few, else into a join that AQE can split.
+    first = cut(first.where("c > 1").drop("c"), "first")
+    first = F.broadcast(first) if first.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else first
     stays = F.when(F.col("doc_id").isNull(), F.col("own").isNull() & (F.col("th") == F.col("nameless"))).otherwise(F.struct("doc_id", "th") == F.col("own"))
     name, text_name = free_name(docs, "gone"), free_name(docs, "gone_text")
     gone = found.where("n > 0").join(first, F.col("root") == F.col("root__")).where(~stays).select(F.col("doc_id").alias(name), F.col("th").alias(text_name)).distinct()
