@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom.llm.common import small_batches, table
@@ -28,6 +28,8 @@ LANES, KMER, CHARS = 64, 2, 5
 _U = np.uint64
 #: Elements that are permuted at once, which keeps lanes times elements in the processor's cache.
 BLOCK = 1 << 10
+#: Ranges of ids at most, into how many pieces one may be divided, and bounds that are looked up at once.
+RANGES, PIECES, GROUP = 100_000, 1 << 20, 256
 
 
 def _lanes(lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,27 +142,32 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", lan
 
 
 def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
-    """docs (doc_id, text) in order of doc_id, null first, and rows of one id by a hash of their text, dealt into ranges of doc_id as sorted partitions, each range followed by the first document of the next one.
+    """docs (doc_id, text) in order of doc_id, null first, and rows of one id by a hash of their text, dealt into ranges as sorted partitions, each range followed by the first document of the next one.
 
-    Adds `part__` and `halo__` (true: stands there only to follow). The ranges are from quantiles of the ids; only their
-    bounds and first ids come to the driver, one pair for each range. A range's first document travels through the same shuffle twice.
+    Adds `part__` and `halo__` (true: stands there only to follow). The ranges are from quantiles of the ids; null ids, and ids with more rows than two ranges should hold, are divided
+    further by the hash of the text, so that only rows of one id and one text cannot be parted. Only bounds, sizes of ids that are divided, and first ids come to the driver, at most
+    one row for each range. A range's first document travels through the same shuffle twice.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    parts = max(1, min(100_000, n // rows_per_part))
-    bounds = sorted(set(docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bounds = [int(b) for b in bounds]
-    key = F.col("doc_id")
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    part = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda b: b <= key))) if len(bounds) < 64 else _bucket(key, bounds)
-    placed = docs.withColumn("part__", part.cast("int")).withColumn("null__", key.isNotNull()).withColumn("tie__", F.xxhash64("text"))
+    parts = max(1, min(RANGES, n // rows_per_part))
+    per = max(rows_per_part, n // RANGES)
+    bounds = sorted({int(b) for b in docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    placed = _placed(docs, bounds).withColumn("null__", F.col("doc_id").isNotNull()).withColumn("tie__", F.xxhash64("text"))
+    # Ids that are divided: how many ranges each gets. Few are: each has more rows than two ranges.
+    large = placed.where("own__").groupBy("range__").count().where(F.col("count") > 2 * per).collect()
+    pieces = docs.sparkSession.createDataFrame([(r["range__"], -(-r["count"] // per)) for r in large], "r__ long, pieces__ long")
+    placed = placed.join(F.broadcast(pieces), F.col("range__") == F.col("r__"), "left")  # at most a row for each range
+    # The hash's place among the pieces; ids that follow in the same range stand behind all pieces.
+    piece = F.least(F.floor((F.col("tie__") / F.lit(2.0**64) + 0.5) * F.col("pieces__")), F.col("pieces__") - 1)
+    inner = F.when(F.col("pieces__").isNull(), F.lit(0)).when(F.col("own__"), piece).otherwise(F.col("pieces__"))
+    placed = placed.select("doc_id", "text", "null__", "tie__", (F.col("range__") * PIECES + inner).cast("long").alias("part__"))
     firsts = placed.groupBy("part__").agg(F.min(F.struct("null__", "doc_id", "tie__")).alias("f")).orderBy("part__").collect()
     if not firsts:
         return placed.withColumn("halo__", F.lit(False))
     # The range before each one, in a circle: after the last document comes the first.
-    before = {r["part__"]: firsts[i - 1]["part__"] for i, r in enumerate(firsts)}
-    rows = [(r["part__"], r["f"]["doc_id"], r["f"]["tie__"], before[r["part__"]]) for r in firsts]
-    heads = F.broadcast(docs.sparkSession.createDataFrame(rows, "p__ int, d__ long, t__ long, b__ int"))  # a row for each range
+    rows = [(r["part__"], r["f"]["doc_id"], r["f"]["tie__"], firsts[i - 1]["part__"]) for i, r in enumerate(firsts)]
+    heads = F.broadcast(docs.sparkSession.createDataFrame(rows, "p__ long, d__ long, t__ long, b__ long"))  # a row for each range
     joined = placed.join(heads, (F.col("part__") == F.col("p__")) & F.col("doc_id").eqNullSafe(F.col("d__")) & (F.col("tie__") == F.col("t__")), "left")
     sides = F.when(F.col("b__").isNull(), F.array(F.struct(F.col("part__").alias("part__"), F.lit(False).alias("halo__")))).otherwise(
         F.array(F.struct(F.col("part__").alias("part__"), F.lit(False).alias("halo__")), F.struct(F.col("b__").alias("part__"), F.lit(True).alias("halo__")))
@@ -170,16 +177,17 @@ def with_next(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
     return spread.repartitionByRange(width, "part__").sortWithinPartitions("part__", "halo__", "null__", "doc_id", "tie__")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most key, by a tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+def _placed(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """docs with range__, how many bounds are at most doc_id (-1 for a null id), and own__, whether doc_id is null or the range's lowest id. Bounds are looked up in two steps, by groups of GROUP."""
+    key = F.col("doc_id")
+    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
+    lows = F.array(*[F.lit(g[0]) for g in groups]).cast("array<bigint>")
+    fine = docs.sparkSession.createDataFrame([(i + 1, g) for i, g in enumerate(groups)], "g__ int, fine__ array<long>")
+    found = docs.withColumn("group__", F.size(F.filter(lows, lambda b: b <= key))).join(F.broadcast(fine), F.col("group__") == F.col("g__"), "left")  # all bounds, at most RANGES
+    found = found.withColumn("at__", F.size(F.filter("fine__", lambda b: b <= key)))
+    place = F.when(key.isNull(), F.lit(-1)).when(F.col("fine__").isNull(), F.lit(0)).otherwise((F.col("group__") - 1) * GROUP + F.col("at__"))
+    own = key.isNull() | F.coalesce(F.get("fine__", F.col("at__") - 1) == key, F.lit(False))
+    return found.select("doc_id", "text", place.cast("long").alias("range__"), own.alias("own__"))
 
 
 def edited(text: str, following: str) -> str:

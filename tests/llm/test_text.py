@@ -152,6 +152,23 @@ def test_fingerprints_with_next(spark, per, monkeypatch):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_large_ids_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP", 4)
+    rng = random.Random(4)
+    rows = [(None, f"null {i}") for i in range(300)] + [(70, f"seventy {i}") for i in range(300)] + [(rng.randrange(200), f"text {i}") for i in range(300)] + [(70, "copy")] * 3
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], DOCS)
+    got = [r for p in fingerprint.with_next(df, 20).rdd.glom().collect() for r in p]
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    parts = {}
+    for r in got:
+        parts.setdefault(r["part__"], ([], []))[r["halo__"]].append((r["doc_id"], r["text"]))
+    assert [x for p in sorted(parts) for x in parts[p][0]] == order
+    assert max(len(own) for own, _ in parts.values()) <= 60
+    ids = sorted(parts)
+    assert all(parts[p][1][0] == parts[ids[(i + 1) % len(ids)]][0][0] for i, p in enumerate(ids))
+
+
 def brute_groups(rows, k, percent):
     sets = [set(jaccard.shingles(t, k).tolist()) for _, t in rows]
     up = list(range(len(rows)))
