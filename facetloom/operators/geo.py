@@ -86,17 +86,36 @@ def box(geo: DataFrame, lon: float, lat: float, width: float, height: float, uni
     return geo.where((F.col("lat") >= lat - band) & (F.col("lat") <= lat + band)).where(tall & wide).withColumn("dist", d)
 
 
+def _columns(band: Column, height: float) -> Column:
+    """How many columns divide a latitude band: each at least as wide as the band is high, also at its edge nearer to a pole."""
+    edge = F.greatest(F.abs(band.cast("double")), F.abs(band.cast("double") + 1)) * height
+    return F.when(edge >= 89, 1).otherwise(F.greatest(F.floor(F.cos(F.radians(edge)) * (360 / height)), F.lit(1))).cast("long")
+
+
 def radius_by_member(geo: DataFrame, members: DataFrame, reach: float, unit: str = "m") -> DataFrame:
     """For each of members (key, member) the places of its key within reach: member, other, dist.
 
-    Places meet in latitude bands as high as the reach; each goes to its own band and asks the two beside it as well, so the join is an equi-join.
+    Places meet in cells: latitude bands half as high as the reach, divided into columns of about that width. Each goes to its own cell and asks those that
+    its circle may touch, across the date line as well (all columns of its bands where it is as near to a pole as that), so the join is an equi-join.
     """
-    height = max(math.degrees(reach * UNITS[unit] / RADIUS) * 1.0001, 1e-6)
-    band = F.floor(F.col("lat") / height)
-    here = geo.select("key", F.col("member").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.floor(F.col("lat") / height).alias("band"))
-    asks = geo.join(members, ["key", "member"], "left_semi").select("key", "member", "lon", "lat", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    angle = min(reach * UNITS[unit] / RADIUS, math.pi)
+    span = max(math.degrees(angle) * 1.0001, 1e-6)
+    height = span / 2
+    turn = F.pmod(F.col("lon"), F.lit(360.0))
+    band, columns = F.floor(F.col("lat") / height), _columns(F.col("band"), height)
+    here = geo.select("key", F.col("member").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), turn.alias("turn"), band.alias("band"))
+    here = here.withColumn("column", F.pmod(F.floor(F.col("turn") / 360 * columns), columns)).drop("turn")
+    # Half of the circle's width in degrees: asin(sin(reach) / cos(lat)), and all longitudes where it may hold a pole.
+    wide = F.when(F.abs("lat") + span < 89.9, F.degrees(F.asin(F.least(math.sin(min(angle, math.pi / 2)) / F.cos(F.radians("lat")), F.lit(1.0)))) * 1.0001 + 1e-9).otherwise(180.0)
+    bands = F.sequence(F.floor((F.col("lat") - span) / height), F.floor((F.col("lat") + span) / height))
+    asks = geo.join(members, ["key", "member"], "left_semi").where((F.abs("lon") < math.inf) & (F.abs("lat") < math.inf))
+    asks = asks.select("key", "member", "lon", "lat", turn.alias("turn"), wide.alias("wide"), F.explode(bands).alias("band")).withColumn("columns", columns)
+    low, high = (F.floor((F.col("turn") + side * F.col("wide")) / 360 * F.col("columns")) for side in (-1, 1))
+    asks = asks.select("key", "member", "lon", "lat", "band", "columns", F.explode(F.sequence(low, F.least(high, low + F.col("columns") - 1))).alias("column"))
+    asks = asks.select("key", "member", "lon", "lat", "band", F.pmod("column", "columns").alias("column"))
     d = distance(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), unit)
-    return asks.join(here, ["key", "band"]).withColumn("dist", d).where(F.col("dist") <= reach).select("key", "member", "other", "dist")
+    # Dealt by cell even if one side is small: the work is in the pairs, and a broadcast would leave it to the few tasks that read the places.
+    return asks.join(here.hint("merge"), ["key", "band", "column"]).withColumn("dist", d).where(F.col("dist") <= reach).select("key", "member", "other", "dist")
 
 
 def dist(geo: DataFrame, a: str, b: str, unit: str = "m") -> DataFrame:

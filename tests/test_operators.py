@@ -186,6 +186,26 @@ def test_geo(spark):
     assert geo.radius(p, 15.0, 37.0, 200, "km", count=1).first()["member"] == "catania"
 
 
+@pytest.mark.parametrize("reach", [0.0, 40, 300, 2500, 12000, 30000])
+def test_geo_by_member_against_all_pairs(spark, reach):
+    spots = [(i * 61.7 % 360 - 180, i * 37.3 % 170 - 85) for i in range(150)]
+    spots += [(lon, lat) for lon in (-180.0, -179.999, 179.9, 180.0, 0.0, 359.0) for lat in (-90.0, -89.0, -0.01, 0.0, 65.0, 87.2, 88.5, 90.0)]
+    p = spark.createDataFrame([("k", f"m{i}", *at) for i, at in enumerate(spots)] + [("other", "m0", *spots[0]), ("k", "none", None, 1.0), ("k", "nan", math.nan, 1.0), ("k", "inf", math.inf, -math.inf)], "key string, member string, lon double, lat double")
+    a, b = p.alias("a"), p.selectExpr("key", "member as other", "lon as lon2", "lat as lat2").alias("b")
+    want = a.join(b, "key").withColumn("dist", geo.distance(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), "km")).where(F.col("dist") <= reach).select("key", "member", "other", "dist")
+    assert sorted(geo.radius_by_member(p, p, reach, "km").collect()) == sorted(want.collect())
+
+
+def test_geo_by_member_divides_bands(spark):
+    """Places of one latitude all round the globe are compared with those near them, not with all of the band."""
+    p = spark.range(2000).selectExpr("'k' as key", "concat('m', id) as member", "id * 0.18D - 180 as lon", "0.5D as lat")
+    distance = geo.distance
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(geo, "distance", lambda *a: distance(*a) * 0)
+        compared = geo.radius_by_member(p, p, 300, "km").count()
+    assert compared < 2000 * 2000 / 20
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("k", 1, "a", [1.0, 0.0]), ("k", 2, "b", [0.0, 1.0]), ("k", 3, "c", [0.707, 0.707])], "key string, id long, name string, v array<double>")
     assert [r["name"] for r in vectors.search(v, [1.0, 0.0], 2).collect()] == ["a", "c"]
