@@ -7,6 +7,8 @@ an aggregate, stay in the JVM, and spill like any table. Exact forms stand besid
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,43 +28,71 @@ def pfcount(sketches: DataFrame) -> DataFrame:
     return sketches.withColumn("n", F.hll_sketch_estimate("sketch"))
 
 
-# Bloom filters: rows (key, bit).
+# Bloom filters: rows (key, bit). A filter of more items than its capacity has 2, 4, 8, ... parts of the size for that capacity, and a hash deals each item
+# to one of them; the bits of n parts start at (n - 1) * size. So filters of one capacity merge by distinct(), also where their parts differ in number.
 
 
 def bloom_size(capacity: int, error: float) -> tuple[int, int]:
-    """Bits and hash functions."""
+    """Bits and hash functions of a part."""
     bits = max(8, math.ceil(-capacity * math.log(error) / math.log(2) ** 2))
     return bits, max(1, round(bits / capacity * math.log(2)))
 
 
-def _probes(item: Column, bits: int, hashes: int) -> Column:
-    """Places by double hashing."""
+def _power(n: Column) -> Column:
+    """The largest power of two that is not above n."""
+    return F.pow(F.lit(2.0), F.length(F.bin(n)) - 1).cast("long")
+
+
+def _part(bits: int) -> Column:
+    """The part of a bit, through all numbers of parts: 0; 1, 2; 3 to 6; ..."""
+    return F.floor(F.col("bit") / bits)
+
+
+def _probes(item: Column, bits: int, hashes: int, parts: Column) -> Column:
+    """Places by double hashing, in the item's part."""
     a, b = F.xxhash64(item), F.xxhash64(F.lit(1), item)
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(F.pmod(a, F.lit(bits)) + F.pmod(b, F.lit(bits)) * i, F.lit(bits)))
+    start = (parts - 1 + F.pmod(F.xxhash64(F.lit(2), item), parts)) * bits
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: start + F.pmod(F.pmod(a, F.lit(bits)) + F.pmod(b, F.lit(bits)) * i, F.lit(bits)))
+
+
+def _with_parts(items: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """items with `parts` of their key, 1 where there is none."""
+    same = reduce(and_, (F.col(f"i.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by), F.lit(True))
+    return items.alias("i").join(parts.alias("p"), same, "left").select("i.*", F.coalesce("p.parts", F.lit(1).cast("long")).alias("parts"))
 
 
 def bloom(df: DataFrame, by: list[str], item: str, capacity: int, error: float = 0.01) -> DataFrame:
     bits, hashes = bloom_size(capacity, error)
-    return df.select(*by, F.explode(_probes(F.col(item), bits, hashes)).alias("bit")).distinct()
+    items = df.select(*by, F.col(item).alias("item__")).distinct()
+    full = items.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > capacity).select(*by, (_power(F.floor((F.col("n") - 1) / capacity)) * 2).alias("parts"))
+    return _with_parts(items, full, by).select(*by, F.explode(_probes(F.col("item__"), bits, hashes, F.col("parts"))).alias("bit")).distinct()
 
 
 def bloom_exists(filters: DataFrame, by: list[str], asked: DataFrame, item: str, capacity: int, error: float = 0.01) -> DataFrame:
     """asked with `found`: true for all that were added, and for a share `error` of others."""
     bits, hashes = bloom_size(capacity, error)
-    probes = asked.select(*by, item).distinct().select(*by, item, F.explode(F.array_distinct(_probes(F.col(item), bits, hashes))).alias("bit"))
-    hits = probes.join(filters.withColumn("hit", F.lit(1)), [*by, "bit"], "left").groupBy(*by, item).agg((F.count("hit") == F.count("*")).alias("found"))
+    parts = filters.select(*by, _power(_part(bits) + 1).alias("parts")).distinct()
+    probes = _with_parts(asked.select(*by, item).distinct(), parts, by).select(*by, item, "parts", F.explode(F.array_distinct(_probes(F.col(item), bits, hashes, F.col("parts")))).alias("bit"))
+    # Numbers of parts are single bits of a number: found where one of them misses no probe.
+    missed = F.coalesce(F.bit_or(F.when(F.col("hit").isNull(), F.col("parts"))), F.lit(0).cast("long"))
+    hits = probes.join(filters.withColumn("hit", F.lit(1)), [*by, "bit"], "left").groupBy(*by, item).agg((missed != F.bit_or("parts")).alias("found"))
     return asked.join(hits, [*by, item], "left")
 
 
+def _filled(filters: DataFrame, by: list[str], bits: int) -> DataFrame:
+    """by, part, x: bits set in each part."""
+    return filters.groupBy(*by, _part(bits).alias("part")).agg(F.count("*").alias("x"))
+
+
 def bloom_info(filters: DataFrame, by: list[str], capacity: int, error: float = 0.01) -> DataFrame:
     bits, hashes = bloom_size(capacity, error)
     return filters.groupBy(*by).agg(F.count("*").alias("bits_set")).select(*by, F.lit(capacity).alias("capacity"), F.lit(bits).alias("size"), F.lit(hashes).alias("hashes"), "bits_set")
 
 
 def bloom_card(filters: DataFrame, by: list[str], capacity: int, error: float = 0.01) -> DataFrame:
-    """n: how many different items were added, estimated from the bits that are set."""
+    """n: how many different items were added, estimated from the bits that are set in each part."""
     bits, hashes = bloom_size(capacity, error)
-    return filters.groupBy(*by).agg(F.count("*").alias("x")).select(*by, (F.log(1 - F.least(F.col("x"), F.lit(bits - 1)) / bits) * (-bits / hashes)).alias("n"))
+    return _filled(filters, by, bits).groupBy(*by).agg(F.sum(F.log(1 - F.least(F.col("x"), F.lit(bits - 1)) / bits) * (-bits / hashes)).alias("n"))
 
 
 # Cuckoo filters: rows (key, fingerprint, bucket, n); the bucket is the smaller of the two that a fingerprint may take.

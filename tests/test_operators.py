@@ -179,6 +179,28 @@ def test_json(spark):
     assert one(j.select(jsondocs.arrindex("$.l", "3", 1))) == 2 and one(j.select(jsondocs.arrindex("$.l", "1", 1))) == -1
 
 
+def test_bloom_grows_past_its_capacity(spark):
+    """2,000 to 64,000 items in filters for 1,000: none is lost, others are found by the error, and the number of items is known."""
+    x = spark.range(64_000).selectExpr("explode(array('a', 'b', 'c', null)) as key", "id as item").where("key is null and id < 3000 or key = 'a' or key = 'b' and id < 1000 or key = 'c' and id < 2001")
+    bits = sketches.bloom(x.unionByName(x), ["key"], "item", 1000).cache()
+    n = {r["key"]: r["n"] for r in sketches.bloom_card(bits, ["key"], 1000).collect()}
+    assert n == {k: pytest.approx(v, rel=0.03) for k, v in (("a", 64_000), ("b", 1000), ("c", 2001), (None, 3000))}
+    found = lambda items: sketches.bloom_exists(bits, ["key"], items, "item", 1000)
+    mine = found(x.where("key is not null"))
+    assert mine.where("not found or found is null").count() == 0 and mine.count() == 67_001
+    shares = [r["share"] for r in found(x.where("key is not null").withColumn("item", -1 - F.col("item"))).groupBy("key").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()]
+    assert len(shares) == 3 and max(shares) <= 0.03
+    assert not found(spark.createDataFrame([("z", 1)], "key string, item long")).first()["found"]
+
+
+def test_bloom_merges_different_numbers_of_parts(spark):
+    x = spark.range(5000).selectExpr("id as item")
+    few, many = (sketches.bloom(x.where(c), [], "item", 1000) for c in ("item < 1000", "item >= 1000"))
+    both = few.unionByName(many).distinct()
+    assert sketches.bloom_exists(both, [], x, "item", 1000).where("found").count() == 5000
+    assert sketches.bloom_card(both, [], 1000).first()["n"] == pytest.approx(5000, rel=0.03)
+
+
 def test_geo(spark):
     p = spark.createDataFrame([("k", "palermo", 13.361389, 38.115556), ("k", "catania", 15.087269, 37.502669)], "key string, member string, lon double, lat double")
     assert geo.dist(p, "palermo", "catania").first()["dist"] == pytest.approx(166274.15, abs=1)
