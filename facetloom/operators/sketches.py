@@ -85,8 +85,10 @@ def _filled(filters: DataFrame, by: list[str], bits: int) -> DataFrame:
 
 
 def bloom_info(filters: DataFrame, by: list[str], capacity: int, error: float = 0.01) -> DataFrame:
+    """capacity, size and hashes of a part, as reserved; parts, bits_set in all, and most_set in one of them."""
     bits, hashes = bloom_size(capacity, error)
-    return filters.groupBy(*by).agg(F.count("*").alias("bits_set")).select(*by, F.lit(capacity).alias("capacity"), F.lit(bits).alias("size"), F.lit(hashes).alias("hashes"), "bits_set")
+    info = _filled(filters, by, bits).groupBy(*by).agg(F.bit_or(_power(F.col("part") + 1)).alias("parts"), F.sum("x").alias("bits_set"), F.max("x").alias("most_set"))
+    return info.select(*by, F.lit(capacity).alias("capacity"), F.lit(bits).alias("size"), F.lit(hashes).alias("hashes"), "parts", "bits_set", "most_set")
 
 
 def bloom_card(filters: DataFrame, by: list[str], capacity: int, error: float = 0.01) -> DataFrame:

@@ -349,7 +349,7 @@ def _items(s, d) -> DataFrame:
 @query("bloom_info", "SELECT l_returnflag AS key, 20000 AS capacity, 191702 AS size, 7 AS hashes, true AS ok FROM lineitem GROUP BY 1")
 def _(s, d):
     info = sketches.bloom_info(sketches.bloom(_items(s, d), ["key"], "item", 20_000), ["key"], 20_000)
-    return info.select("key", "capacity", "size", "hashes", ((C("bits_set") > 0) & (C("bits_set") < C("size"))).alias("ok"))
+    return info.select("key", "capacity", "size", "hashes", ((C("bits_set") > 0) & (C("most_set") < C("size"))).alias("ok"))
 
 
 @query("bloom_card", "SELECT l_returnflag AS key, true AS ok FROM lineitem GROUP BY 1")

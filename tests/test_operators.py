@@ -201,6 +201,15 @@ def test_bloom_merges_different_numbers_of_parts(spark):
     assert sketches.bloom_card(both, [], 1000).first()["n"] == pytest.approx(5000, rel=0.03)
 
 
+def test_bloom_info_of_grown_filters(spark):
+    x = spark.range(64_000).selectExpr("explode(array('a', 'b', 'c', null)) as key", "id as item").where("key is null and id < 3000 or key = 'a' or key = 'b' and id < 1000 or key = 'c' and id < 2001")
+    bits = sketches.bloom(x, ["key"], "item", 1000)
+    info = {r["key"]: r for r in sketches.bloom_info(bits.unionByName(sketches.bloom(x.where("key = 'c' and item < 10"), ["key"], "item", 1000)).distinct(), ["key"], 1000).collect()}
+    assert {k: r["parts"] for k, r in info.items()} == {"a": 64, "b": 1, "c": 5, None: 4}
+    assert all((r["capacity"], r["size"], r["hashes"]) == (1000, 9586, 7) and 0 < r["most_set"] < 0.6 * r["size"] for r in info.values())
+    assert {k: r["bits_set"] for k, r in info.items() if k == "b"} == {"b": bits.where("key = 'b'").count()} and info["a"]["bits_set"] > 50 * info["a"]["most_set"]
+
+
 def test_geo(spark):
     p = spark.createDataFrame([("k", "palermo", 13.361389, 38.115556), ("k", "catania", 15.087269, 37.502669)], "key string, member string, lon double, lat double")
     assert geo.dist(p, "palermo", "catania").first()["dist"] == pytest.approx(166274.15, abs=1)
